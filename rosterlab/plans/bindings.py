@@ -264,7 +264,7 @@ _POOL = [
     ("position", "CASE p_type WHEN 'PROMO' THEN 'SP' WHEN 'ECONOMY' THEN 'RP' WHEN 'LARGE' THEN '1B/OF' WHEN 'SMALL' THEN 'C' "
                  "WHEN 'MEDIUM' THEN 'OF' ELSE '2B/SS' END"),
     ("salary", "CAST(2000 + (p_partkey * 37) % 6500 AS {int})"),
-    ("avg_points", "p_size * 3.7e-1"),
+    ("avg_points", "p_size * 3.717e-1"),
     ("is_pitcher", "p_type IN ('PROMO', 'ECONOMY')"),
     ("pts_q50", "(p_partkey * 13 % 997) / 3.37e1"),
     ("pts_q15", "(p_partkey * 13 % 997) / 3.37e1 * 4.5e-1"),
