@@ -66,7 +66,7 @@ def first_source(df: DataFrame, priority: str, keys: Sequence[str] = ()) -> Data
     """Rows of the best (lowest) priority: over the whole frame, or per key."""
     best = df.groupBy(*keys).agg(F.min(priority).alias("_best"))
     if not keys:
-        return df.join(F.broadcast(best), F.col(priority) == F.col("_best")).drop("_best")
+        return df.filter(F.col(priority) == best.scalar())
     return df.join(best, list(keys)).filter(F.col(priority) == F.col("_best")).drop("_best")
 
 

@@ -142,8 +142,9 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column],
     keys = list(keys)
     stats = df.groupBy(*keys).agg(*aggs)
     names = [c for c in stats.columns if c not in keys]
-    if not keys:
-        return df.crossJoin(F.broadcast(stats))  # one row, attached to every row
+    if not keys:  # one row: a scalar subquery, evaluated once
+        one = stats.select(F.struct(*names).alias("_s")).scalar()
+        return df.withColumn("_s", one).select("*", "_s.*").drop("_s")
     renamed = stats.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *names)
     if few_groups:
         renamed = F.broadcast(renamed)

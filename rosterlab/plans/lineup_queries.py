@@ -138,12 +138,16 @@ def _(t):
     return b.lineup_rows(t).filter(~F.col("is_pitcher")).groupBy("lineup_id", "team").agg(F.count(F.lit(1)).alias("hitters")).filter(F.col("hitters") > 1)
 
 
-CONSTRAINTS = "cons AS (SELECT p_partkey AS player_id, p_size = 7 AS is_banned, p_partkey IN (11, 17, 23) AS is_locked, p_name AS name FROM part WHERE p_size = 7 OR p_partkey IN (11, 17, 23))"
+# Bans by size; the locks are the three most expensive parts, as a user would pick a few.
+CONSTRAINTS = """locks AS (SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 3),
+cons AS (SELECT p_partkey AS player_id, p_size = 7 AS is_banned, p_partkey IN (SELECT p_partkey FROM locks) AS is_locked, p_name AS name FROM part)"""
 
 
 def constraints(t):
-    p = t["part"].filter((F.col("p_size") == 7) | F.col("p_partkey").isin(11, 17, 23))
-    return p.select(F.col("p_partkey").alias("player_id"), (F.col("p_size") == 7).alias("is_banned"), F.col("p_partkey").isin(11, 17, 23).alias("is_locked"), F.col("p_name").alias("name"))
+    p = t["part"].select(F.col("p_partkey").alias("player_id"), "p_size", "p_retailprice", F.col("p_name").alias("name"))
+    locks = p.orderBy(F.col("p_retailprice").desc(), "player_id").limit(3).select("player_id", F.lit(True).alias("is_locked"))
+    out = p.filter(F.col("p_size") == 7).join(locks, "player_id", "full_outer").join(p.select("player_id", F.col("name").alias("n")), "player_id")
+    return out.select("player_id", F.coalesce(F.col("p_size") == 7, F.lit(False)).alias("is_banned"), F.coalesce("is_locked", F.lit(False)).alias("is_locked"), F.col("n").alias("name"))
 
 
 MISSING = "missing AS (SELECT r.lineup_id, c.player_id, c.name FROM roll r, cons c WHERE c.is_locked AND NOT EXISTS (SELECT 1 FROM lineup_rows x WHERE x.lineup_id = r.lineup_id AND x.player_id = c.player_id))"
