@@ -57,7 +57,7 @@ def slug_name(url, marker: str = "/player/") -> Column:
 
 def split_positions(x) -> Column:
     """``"1B/OF"`` -> [1B, OF] without blanks."""
-    return F.filter(F.transform(F.split(clean(x), "/"), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(clean(x), "/"), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def primary_position(x) -> Column:
