@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions.columns import clip, code, flag, lookup, ratio, weighted_event
 from .frames import ensure, rolling_columns, terminal_only
-from .ordered import first_row, top_rows, trailing
+from .ordered import first_row, trailing
 
 PITCH_ORDER = ("game_date", "game_pk", "at_bat_number", "pitch_number")
 XWOBA = "estimated_woba_using_speedangle"
@@ -224,20 +224,15 @@ def team_games(logs: DataFrame, teams: DataFrame, key: str = "batter") -> DataFr
 
 
 def runs_allowed(games: DataFrame) -> DataFrame:
-    """The other team's runs per (team, game).
+    """The other team's runs per (team, game), one row per (team, game) coming in.
 
     The reference order is by team, so the "first other team" of a game is its lowest
-    team, or the second lowest for the lowest itself: two rows per game suffice, and no
-    pairs of teams are formed.
+    team, or the second lowest for the lowest itself. No pairs of teams are formed; a
+    game's group is bounded by the number of teams.
     """
-    two = top_rows(games.select("team", "game_pk", "runs_scored"), ["game_pk"], [F.col("team")], 2, rank="_r")
-    pick = lambda i, c: F.max(F.when(F.col("_r") == i, F.col(c)))
-    sides = two.groupBy("game_pk").agg(
-        pick(1, "team").alias("_t1"), pick(1, "runs_scored").alias("_s1"), pick(2, "runs_scored").alias("_s2")
-    )
-    out = games.join(sides, "game_pk")
-    other = F.when(F.col("team") == F.col("_t1"), F.col("_s2")).otherwise(F.col("_s1"))
-    return out.withColumn("runs_allowed", other).drop("_t1", "_s1", "_s2")
+    w = Window.partitionBy("game_pk").orderBy("team").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first_team, first, second = F.first("team").over(w), F.first("runs_scored").over(w), F.nth_value("runs_scored", 2).over(w)
+    return games.select("*", F.when(F.col("team") == first_team, second).otherwise(first).alias("runs_allowed"))
 
 
 def lagged_mean(value: str, part: Sequence[str], order: Sequence[str], n: int, at_least: int) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import code
 from ..functions.similarity import indel_ratio
 from ..functions.text import first_last, token_sort
+from ..session import checkpointed
 from .ordered import first_row, prefix_sums, top_rows
 
 THRESHOLD = 82.0
@@ -126,6 +127,7 @@ def resolve_players(pool: DataFrame, register: DataFrame, teams: DataFrame, thre
 
     The similarity step sees each distinct unmatched name once, however many rows carry it.
     """
+    register = checkpointed(register)  # read five times below; names only
     exact = exact_cascade(pool, register)
     open_ = exact.filter(F.col("register_id").isNull()).select("name", "team").distinct()
     chosen = pick_by_team(open_, candidates(open_, register, threshold), teams)

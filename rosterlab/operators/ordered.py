@@ -29,9 +29,13 @@ def _setting(df: DataFrame, entry) -> int:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimised plan; runs no job."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+    """Bytes of everything a frame scans, from Catalyst's statistics; runs no job.
+
+    Estimates of joins multiply their sides and say little about the key lookups used here.
+    The scanned bytes bound the rows as long as nothing was exploded, which holds for all callers.
+    """
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def may_hold_large_group(df: DataFrame) -> bool:
@@ -132,23 +136,24 @@ def trailing(
     return done if not keys else build(ordinary, keys).unionByName(done)
 
 
-def with_group_stats(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], few_groups: bool = False) -> DataFrame:
+def with_group_stats(df: DataFrame, keys: Sequence[str], stats: dict[str, Column]) -> DataFrame:
     """Attach aggregates of a group to its rows.
 
-    Partial aggregation plus a join: unlike an unordered window, no group has to fit one
-    task. ``few_groups`` is for keys with a handful of values by construction (a CASE or
-    a boolean), whose aggregate is broadcast; otherwise Spark chooses the join.
+    Inputs too small to hold an oversized group use one unordered window. Otherwise the
+    rows are written once, aggregated with map-side combine, and the aggregates joined back,
+    so that no group has to fit one task.
     """
     keys = list(keys)
-    stats = df.groupBy(*keys).agg(*aggs)
-    names = [c for c in stats.columns if c not in keys]
+    named = [c.alias(n) for n, c in stats.items()]
     if not keys:  # one row: a scalar subquery, evaluated once
-        one = stats.select(F.struct(*names).alias("_s")).scalar()
+        one = df.agg(*named).select(F.struct(*stats).alias("_s")).scalar()
         return df.withColumn("_s", one).select("*", "_s.*").drop("_s")
-    renamed = stats.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *names)
-    if few_groups:
-        renamed = F.broadcast(renamed)
-    on = [df[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    if not may_hold_large_group(df):
+        w = Window.partitionBy(*keys)
+        return df.select("*", *[c.over(w).alias(n) for n, c in stats.items()])
+    df = checkpointed(df)
+    renamed = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(*named)
+    on = [df[k].eqNullSafe(renamed[f"_k{i}"]) for i, k in enumerate(keys)]
     return df.join(renamed, on, "left").drop(*[f"_k{i}" for i in range(len(keys))])
 
 

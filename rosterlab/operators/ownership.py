@@ -27,7 +27,7 @@ def value_zscore(df: DataFrame, bins=S.TIER_BINS) -> DataFrame:
     """z-score of points per 1000 salary within (slate, role, tier); 0 without spread or tier."""
     out = df.withColumns({"_tier": salary_tier("salary", bins), "_raw": ratio("pts_q50", F.col("salary") / 1000.0)})
     out = with_group_stats(
-        out, [*POOL, "_tier"], [F.avg("_raw").alias("_mean"), F.stddev_samp("_raw").alias("_sd")]
+        out, [*POOL, "_tier"], {"_mean": F.avg("_raw"), "_sd": F.stddev_samp("_raw")}
     )
     z = F.when(F.col("_tier").isNotNull() & (F.col("_sd") > 0), (F.col("_raw") - F.col("_mean")) / F.col("_sd")).otherwise(0.0)
     return out.withColumn("value_zscore", z).drop("_tier", "_raw", "_mean", "_sd")
@@ -42,7 +42,7 @@ def salary_rank(df: DataFrame) -> DataFrame:
 
 def recency(df: DataFrame) -> DataFrame:
     """Median projection scaled to 0..1 within the pool, 0.5 when all are equal."""
-    out = with_group_stats(df, POOL, [F.min("pts_q50").alias("_lo"), F.max("pts_q50").alias("_hi")])
+    out = with_group_stats(df, POOL, {"_lo": F.min("pts_q50"), "_hi": F.max("pts_q50")})
     scaled = F.when(F.col("_hi") > F.col("_lo"), clip((F.col("pts_q50") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")), 0.0, 1.0))
     return out.withColumn("recency", scaled.otherwise(0.5)).drop("_lo", "_hi")
 
@@ -102,14 +102,15 @@ def slate_size(df: DataFrame) -> DataFrame:
     return out.select("slate_id", n.alias("games"), F.when(n <= 4, "small").when(n <= 9, "medium").otherwise("large").alias("slate_size"))
 
 
-def normalise(df: DataFrame) -> DataFrame:
+def normalise(df: DataFrame, pool: DataFrame | None = None) -> DataFrame:
     """Raw scores to ownership percent: centre, signed power .7, logistic, rescale to floor..cap per pool.
 
     The logistic of a centred, powered score is monotone, so the pool's extremes come from the
-    extremes of the raw score and one aggregation per pool is enough.
+    extremes of the raw score and one aggregation per pool is enough. ``pool`` is the plain player
+    pool, if at hand, so that counting its games does not repeat the scoring.
     """
-    out = df.join(slate_size(df), "slate_id")
-    out = with_group_stats(out, POOL, [F.avg("raw_score").alias("_mean"), F.min("raw_score").alias("_lo"), F.max("raw_score").alias("_hi")])
+    out = df.join(slate_size(df if pool is None else pool), "slate_id")
+    out = with_group_stats(out, POOL, {"_mean": F.avg("raw_score"), "_lo": F.min("raw_score"), "_hi": F.max("raw_score")})
     shape = lambda c: logistic(clip(signed_power(F.col(c) - F.col("_mean"), 0.7) * 4.0, -50.0, 50.0))
     cap = F.lit(None).cast("double")
     for size, (p, h) in S.OWNERSHIP_CAP.items():
@@ -142,17 +143,17 @@ def scenario_draws(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
     Draws are generated from the row itself, so they are the same on any cluster.
     """
-    sd = F.greatest((F.col("pts_q85") - F.col("pts_q15")) / 2.08, F.lit(0.01))
-    out = df.withColumns({"_sd": sd, "draw": F.explode(F.sequence(F.lit(0), F.lit(n - 1)))})
-    mean = F.col("pts_q50")
+    mean, sd = F.col("pts_q50"), F.greatest((F.col("pts_q85") - F.col("pts_q15")) / 2.08, F.lit(0.01))
     high = F.greatest(F.col("pts_q85") * 1.5, mean + F.col("_sd"))
-    out = out.withColumns({
-        "_a": normal_cdf((F.lit(0.0) - mean) / F.col("_sd")), "_b": normal_cdf((high - mean) / F.col("_sd")), "_high": high,
-        "_u": hash_uniform("player_id", "draw", F.lit(seed)),
-    })
+    # Everything that depends on the player alone is computed before the rows multiply, and the
+    # small pool is spread first so that its draws are not all made by the task that read its file.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = df.repartition(tasks, "player_id").withColumn("_sd", sd).withColumn("_high", high)
+    base = base.withColumns({"_a": normal_cdf((F.lit(0.0) - mean) / F.col("_sd")), "_b": normal_cdf((F.col("_high") - mean) / F.col("_sd"))})
+    out = base.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_u", hash_uniform("player_id", "draw", F.lit(seed)))
     p = clip(F.col("_a") + F.col("_u") * (F.col("_b") - F.col("_a")), 1e-12, 1 - 1e-12)
-    value = F.least(F.greatest(mean + F.col("_sd") * normal_inverse(p), F.lit(0.0)), F.col("_high"))
-    return out.withColumn("value", value).drop("_sd", "_a", "_b", "_high", "_u")
+    value = F.least(F.greatest(mean + F.col("_sd") * normal_inverse(F.col("_p")), F.lit(0.0)), F.col("_high"))
+    return out.withColumn("_p", p).withColumn("value", value).drop("_sd", "_a", "_b", "_high", "_u", "_p")
 
 
 def selection_frequency(draws: DataFrame, n: int, slots: dict[str, int] | None = None) -> DataFrame:
@@ -175,4 +176,4 @@ def selection_frequency(draws: DataFrame, n: int, slots: dict[str, int] | None =
 def project_ownership(df: DataFrame, totals: DataFrame, n: int = 1000, seed: int = 0) -> DataFrame:
     """Projections to ownership and leverage: draws, frequency, raw score, normalisation."""
     freq = selection_frequency(scenario_draws(df, n, seed), n)
-    return apply_ownership(normalise(raw_score(df, freq, totals)))
+    return apply_ownership(normalise(raw_score(df, freq, totals), pool=df))

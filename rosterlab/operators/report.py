@@ -66,7 +66,7 @@ def ceiling_board(df: DataFrame, n: int = 8) -> DataFrame:
 
 def leverage_scatter(df: DataFrame) -> DataFrame:
     """Points for the ownership/points chart with the pool means and the quadrant."""
-    out = with_group_stats(df, [], [F.avg("ownership_proj").alias("mean_ownership"), F.avg("pts_q50").alias("mean_points")])
+    out = with_group_stats(df, [], {"mean_ownership": F.avg("ownership_proj"), "mean_points": F.avg("pts_q50")})
     high, popular = F.col("pts_q50") >= F.col("mean_points"), F.col("ownership_proj") >= F.col("mean_ownership")
     quadrant = F.when(high & ~popular, "leverage").when(high, "chalk").when(~popular, "punt").otherwise("trap")
     return out.withColumn("quadrant", quadrant)

@@ -17,12 +17,16 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.schemas: dict[str, T.StructType] = {}
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        """A fresh frame per use; the file footer is only read for the first one."""
+        if name not in self.schemas:
+            self.schemas[name] = self.spark.read.parquet(self.path(name)).schema
+        return self.spark.read.schema(self.schemas[name]).parquet(self.path(name))
 
 
 def tidy(df: DataFrame, dp: int = 8) -> DataFrame:

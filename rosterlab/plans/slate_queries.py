@@ -210,7 +210,7 @@ def _(t):
 @query("F25_linear_rescale", """SELECT player_id, CASE WHEN hi > lo THEN 2 + (pts_q50 - lo) / (hi - lo) * 26 ELSE 15 END AS v
 FROM pool JOIN (SELECT team AS tm, min(pts_q50) AS lo, max(pts_q50) AS hi FROM pool GROUP BY 1) g ON team = tm""", "v", views=P)
 def _(t):
-    out = with_group_stats(b.pool(t), ["team"], [F.min("pts_q50").alias("lo"), F.max("pts_q50").alias("hi")])
+    out = with_group_stats(b.pool(t), ["team"], {"lo": F.min("pts_q50"), "hi": F.max("pts_q50")})
     return out.select("player_id", rescale("pts_q50", "lo", "hi", F.lit(2.0), F.lit(28.0)).alias("v"))
 
 
@@ -571,7 +571,7 @@ def _(t):
 
 @query("W16_mean_centre", "SELECT player_id, pts_q50 - avg(pts_q50) OVER (PARTITION BY slate_id, is_pitcher) AS centred FROM pool", "centred", views=P)
 def _(t):
-    out = with_group_stats(b.pool(t), O.POOL, [F.avg("pts_q50").alias("_m")])
+    out = with_group_stats(b.pool(t), O.POOL, {"_m": F.avg("pts_q50")})
     return out.select("player_id", (F.col("pts_q50") - F.col("_m")).alias("centred"))
 
 
@@ -584,7 +584,8 @@ ownp AS (SELECT *, least(greatest(CASE WHEN s1 > s0 THEN fl + (s - s0) / (s1 - s
 
 @query("D59_normalise_ownership", "SELECT player_id, ownership_pct FROM ownp", "ownership_pct", views=f"{RAW_VIEWS}, {NORM}")
 def _(t):
-    return O.normalise(O.raw_score(b.pool(t), _freq(t), b.totals(t))).select("player_id", "ownership_pct")
+    p = b.pool(t)
+    return O.normalise(O.raw_score(p, _freq(t), b.totals(t)), pool=p).select("player_id", "ownership_pct")
 
 
 @query("D60_apply_ownership", """SELECT p.player_id, round(own, 2) AS ownership_proj, round(pts_q85 / own, 3) AS leverage_score, round(pts_q50 / greatest(round(own, 2), 0.1e0), 3) AS median_leverage

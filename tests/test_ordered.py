@@ -73,7 +73,8 @@ def test_team_form_split(spark, split):
 def test_pool_ranks_split(skewed, split, spark):
     pool = skewed.select(F.lit("S").alias("slate_id"), F.col("id").alias("player_id"), F.lit("OF").alias("position"), F.coalesce("v", F.lit(0)).alias("salary"), F.col("v").alias("pts_q50"),
                          F.lit("T").alias("team"), F.lit(False).alias("is_pitcher"), F.lit(5.0).alias("team_total"))
-    run = lambda: (rows(OW.salary_rank(pool), "player_id", "salary_rank"), rows(OW.stack_multiplier(pool), "player_id", "stack_multiplier"), rows(R.percentile_bands(pool), "player_id", "top_share", "band"))
+    run = lambda: (rows(OW.salary_rank(pool), "player_id", "salary_rank"), rows(OW.stack_multiplier(pool), "player_id", "stack_multiplier"), rows(R.percentile_bands(pool), "player_id", "top_share", "band"),
+                   rows(OW.recency(pool), "player_id", "recency"), rows(OW.value_zscore(pool).select("player_id", F.round("value_zscore", 9))))
     forced = run()
     spark.conf.set("rosterlab.groupBytes", str(1 << 40))
     assert forced == run()
@@ -81,5 +82,5 @@ def test_pool_ranks_split(skewed, split, spark):
 
 def test_group_stats_null_keys(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, x double")
-    assert rows(O.with_group_stats(df, ["g"], [F.avg("x").alias("m")])) == [("a", 5.0, 5.0), (None, 1.0, 2.0), (None, 3.0, 2.0)]
-    assert {r["m"] for r in O.with_group_stats(df, [], [F.avg("x").alias("m")]).collect()} == {3.0}
+    assert rows(O.with_group_stats(df, ["g"], {"m": F.avg("x")})) == [("a", 5.0, 5.0), (None, 1.0, 2.0), (None, 3.0, 2.0)]
+    assert {r["m"] for r in O.with_group_stats(df, [], {"m": F.avg("x")}).collect()} == {3.0}
