@@ -19,14 +19,14 @@ LOG_STATS = (
 )
 
 
-def daily_counts(pitches: DataFrame, order: Sequence[str] = PITCH_ORDER) -> DataFrame:
+def daily_counts(pitches: DataFrame) -> DataFrame:
     """Pitch events to counts per pitcher and day, aggregated before any shuffle.
 
-    Fastballs without a speed stay in ``fb_count``: the mean divides by all fastballs.
+    Fastballs without a speed stay in ``fb_count``: the mean divides by all fastballs. The day's
+    game is its first one, and ids rise within a day. All buffers are fixed-width, so Spark hashes.
     """
     ev, desc, fast = F.col("events"), F.col("description"), F.col("pitch_type").isin(S.FASTBALLS)
     total = lambda cond, name: F.sum(flag(cond)).alias(name)
-    when_first = F.struct(*[F.col(c) for c in order if c != "game_date"])
     return (
         pitches.filter(F.col("pitcher").isNotNull())
         .groupBy("pitcher", "game_date")
@@ -38,7 +38,7 @@ def daily_counts(pitches: DataFrame, order: Sequence[str] = PITCH_ORDER) -> Data
             total(desc.isin(S.WHIFFS), "whiffs"),
             F.coalesce(F.sum(F.when(fast, F.col("release_speed"))), F.lit(0.0)).alias("fb_velo_sum"),
             total(fast, "fb_count"),
-            F.min(when_first)["game_pk"].alias("game_pk"),
+            F.min("game_pk").alias("game_pk"),
         )
     )
 
@@ -153,7 +153,7 @@ def role_filter(df: DataFrame, starters: bool = True, column: str = "ip_per_star
 
 def pitcher_feature_matrix(pitches: DataFrame, logs: DataFrame, order: Sequence[str] = PITCH_ORDER) -> DataFrame:
     """Pitcher-day matrix: the 23 features and ``points_game``, outings with innings only."""
-    out = join_logs(pitcher_rolling(daily_counts(pitches, order)), logs)
+    out = join_logs(pitcher_rolling(daily_counts(pitches)), logs)
     out = era_features(innings_features(out))
     out = score_pitching(context(out, pitches, order))
     return out.filter(F.col("innings_pitched") > 0)

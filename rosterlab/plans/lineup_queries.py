@@ -271,16 +271,34 @@ def _by_slate(t):
     return lineups(t).join(years, "lineup_id"), scored(t).join(years, "lineup_id")
 
 
-@query("D65_exposure_select")
-def _(t):
+# The sequential pass in SQL: one step per candidate and slate, carrying the members taken so far.
+GREEDY = """cand AS (SELECT slate_id, lineup_id, ps, members, row_number() OVER (PARTITION BY slate_id ORDER BY ps DESC, lineup_id) AS rn FROM (
+  SELECT CAST(year(o_orderdate) AS VARCHAR) AS slate_id, s.lineup_id, round(portfolio_score, 8) AS ps, members FROM score s JOIN orders ON s.lineup_id = o_orderkey
+  JOIN (SELECT lineup_id, list(player_id) AS members FROM lu GROUP BY 1) m ON m.lineup_id = s.lineup_id) c),
+steps AS (
+  SELECT DISTINCT slate_id, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS held, CAST(0 AS BIGINT) AS taken, FALSE AS ok FROM cand
+  UNION ALL
+  SELECT slate_id, rn, CASE WHEN ok THEN list_concat(held, members) ELSE held END, taken + CAST(ok AS BIGINT), ok FROM (
+    SELECT c.slate_id, c.rn, c.members, s.held, s.taken, s.taken < 20 AND len(list_filter(c.members, lambda m: (len(list_filter(s.held, lambda x: x = m)) + 1) / 20e0 > 0.1e0)) = 0 AS ok
+    FROM steps s JOIN cand c ON c.slate_id = s.slate_id AND c.rn = s.rn + 1) n),
+picked AS (SELECT c.slate_id, c.lineup_id, c.ps AS portfolio_score, s.taken AS pick, c.members FROM steps s JOIN cand c ON c.slate_id = s.slate_id AND c.rn = s.rn WHERE s.ok)"""
+PICKED = f"RECURSIVE {SCORED}, {GREEDY}"
+
+
+def _picked(t):
     rows, s = _by_slate(t)
-    return L.exposure_select(rows, s, n=20, default=0.10).select("slate_id", "lineup_id", "portfolio_score", "pick")
+    return rows, L.exposure_select(rows, s.withColumn("portfolio_score", F.round("portfolio_score", 8)), n=20, default=0.10)
 
 
-@query("W18_running_exposure")
+@query("D65_exposure_select", "SELECT slate_id, lineup_id, portfolio_score, pick FROM picked", "portfolio_score", views=PICKED)
 def _(t):
-    rows, s = _by_slate(t)
-    chosen = L.exposure_select(rows, s, n=20, default=0.10).select("slate_id", "lineup_id")
+    return _picked(t)[1].select("slate_id", "lineup_id", "portfolio_score", "pick")
+
+
+@query("W18_running_exposure", "SELECT slate_id, player_id, count(*) AS appearances FROM (SELECT slate_id, unnest(members) AS player_id FROM picked) x GROUP BY 1, 2", views=PICKED)
+def _(t):
+    rows, chosen = _picked(t)
+    chosen = chosen.select("slate_id", "lineup_id")
     return rows.join(chosen, ["slate_id", "lineup_id"]).groupBy("slate_id", "player_id").agg(F.count(F.lit(1)).alias("appearances"))
 
 

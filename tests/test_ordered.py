@@ -71,7 +71,7 @@ def test_team_form_split(spark, split):
 
 
 def test_pool_ranks_split(skewed, split, spark):
-    pool = skewed.select(F.lit("S").alias("slate_id"), F.col("id").alias("player_id"), F.lit("OF").alias("position"), F.coalesce("v", F.lit(0)).alias("salary"), F.col("v").alias("pts_q50"),
+    pool = skewed.select(F.lit("S").alias("slate_id"), F.col("id").alias("player_id"), F.lit("OF").alias("position"), (F.col("id") * 7 % 41 + 1).alias("salary"), F.col("v").alias("pts_q50"),
                          F.lit("T").alias("team"), F.lit(False).alias("is_pitcher"), F.lit(5.0).alias("team_total"))
     run = lambda: (rows(OW.salary_rank(pool), "player_id", "salary_rank"), rows(OW.stack_multiplier(pool), "player_id", "stack_multiplier"), rows(R.percentile_bands(pool), "player_id", "top_share", "band"),
                    rows(OW.recency(pool), "player_id", "recency"), rows(OW.value_zscore(pool).select("player_id", F.round("value_zscore", 9))))
