@@ -32,17 +32,17 @@ def _orders(t):
     o = t["orders"].select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority")
     hour = F.lpad((F.col("o_orderkey") % 12 + 1).cast("string"), 2, "0")
     info = F.concat(F.lit("AAA@BB "), F.date_format("o_orderdate", "MM/dd/yyyy"), F.lit(" "), hour, F.lit(":05PM  ET"))
-    return o.withColumn("info", F.when(F.col("o_custkey") % 9 == 0, F.lit("postponed")).otherwise(info))
+    return o.withColumn("info", F.when(F.col("o_orderpriority") == "5-LOW", F.lit("postponed")).otherwise(info))
 
 
-@query("F05_game_info", """SELECT o_orderkey, o_custkey % 9 <> 0 AS ok, CASE WHEN o_custkey % 9 <> 0 THEN 'AAA' ELSE '' END AS away_team, CASE WHEN o_custkey % 9 <> 0 THEN 'BB' ELSE '' END AS home_team,
- CASE WHEN o_custkey % 9 <> 0 THEN CAST(o_orderdate AS DATE) END AS game_date, CASE WHEN o_custkey % 9 <> 0 THEN lpad(CAST(o_orderkey % 12 + 1 AS VARCHAR), 2, '0') || ':05PM ET' ELSE '' END AS game_time_et FROM orders""")
+@query("F05_game_info", """SELECT o_orderkey, o_orderpriority <> '5-LOW' AS ok, CASE WHEN o_orderpriority <> '5-LOW' THEN 'AAA' ELSE '' END AS away_team, CASE WHEN o_orderpriority <> '5-LOW' THEN 'BB' ELSE '' END AS home_team,
+ CASE WHEN o_orderpriority <> '5-LOW' THEN CAST(o_orderdate AS DATE) END AS game_date, CASE WHEN o_orderpriority <> '5-LOW' THEN lpad(CAST(o_orderkey % 12 + 1 AS VARCHAR), 2, '0') || ':05PM ET' ELSE '' END AS game_time_et FROM orders""")
 def _(t):
     g = X.game_info("info")
     return _orders(t).select("o_orderkey", g.alias("g")).select("o_orderkey", "g.ok", "g.away_team", "g.home_team", "g.game_date", "g.game_time_et")
 
 
-@query("P20_slate_start", "SELECT o_custkey AS slate, min(CAST(o_orderdate AS DATE)) AS game_date FROM orders WHERE o_custkey % 9 <> 0 GROUP BY 1")
+@query("P20_slate_start", "SELECT o_custkey AS slate, min(CAST(o_orderdate AS DATE)) AS game_date FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1")
 def _(t):
     g = X.game_info("info")
     rows = _orders(t).select(F.col("o_custkey").alias("slate"), g.alias("g")).filter("g.ok")

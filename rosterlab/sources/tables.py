@@ -38,10 +38,13 @@ def read_table(spark: SparkSession, root: str, key: str, schema: T.StructType |
 
 
 def write_table(df: DataFrame, root: str, key: str, partition: str | None = "season") -> None:
-    """Overwrite the partitions present in ``df``; the commit protocol makes each write all-or-nothing."""
+    """Overwrite the partitions present in ``df``; the commit protocol makes each write all-or-nothing.
+
+    The rebalance hint gathers a partition's rows into few files and splits an oversized
+    partition over several tasks.
+    """
     parts = [partition] if partition and partition in df.columns else []
-    writer = df.repartition(*[F.col(p) for p in parts], F.spark_partition_id() % 64) if parts else df
-    out = writer.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out = df.hint("rebalance", *parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     (out.partitionBy(*parts) if parts else out).parquet(table_path(root, key))
 
 
@@ -117,8 +120,8 @@ def incremental_append(spark: SparkSession, root: str, key: str, new: DataFrame,
     if base is None:
         merged = merge_new(new.limit(0), new, keys)
     else:
-        touched = new.select(partition).distinct()
-        merged = merge_new(conform(base, new.schema).join(touched, partition, "left_semi"), new, keys)
+        touched = [r[0] for r in new.select(partition).distinct().collect()]  # a few seasons
+        merged = merge_new(conform(base.filter(F.col(partition).isin(touched)), new.schema), new, keys)
     write_table(checkpointed(merged), root, key, partition)
 
 
