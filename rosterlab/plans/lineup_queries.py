@@ -155,8 +155,7 @@ MISSING = "missing AS (SELECT r.lineup_id, c.player_id, c.name FROM roll r, cons
 
 @query("J22_required_missing", "SELECT lineup_id, name AS player_name, count(*) AS n FROM missing GROUP BY 1, 2", views=f"{LU}, {ROLL}, {CONSTRAINTS}, {MISSING}")
 def _(t):
-    locks = constraints(t).filter("is_locked").select("player_id", F.col("name").alias("lock_name"))
-    return L.locked_missing(b.lineup_rows(t), locks).groupBy("lineup_id", "player_name").agg(F.count(F.lit(1)).alias("n"))
+    return L.locked_missing(b.lineup_rows(t), constraints(t)).groupBy("lineup_id", "player_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("U10_unknown_slots", "SELECT lineup_id, list_sort(list_filter(list(DISTINCT slot), lambda s: s NOT IN ('A', 'N'))) AS unknown FROM lineup_rows GROUP BY 1 HAVING len(list_filter(list(DISTINCT slot), lambda s: s NOT IN ('A', 'N'))) > 0", views=LU)
