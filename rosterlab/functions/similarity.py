@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Executors need not have this package: the helpers travel with the function that uses them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _lcs_length(a: str, b: str) -> int:
     """Longest common subsequence with one machine word per string (any length)."""
