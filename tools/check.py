@@ -19,7 +19,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def norm(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 7)
+        return None if math.isnan(v) else v
     if isinstance(v, list):
         return tuple(norm(x) for x in v)
     return v
