@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -25,13 +26,15 @@ def get_spark(app: str = "rosterlab", cpus: str | int | None = None) -> SparkSes
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, or a temporary one when unset."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``; unset, a temporary one in local mode and an error elsewhere."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="rosterlab-")
     spark.sparkContext.setCheckpointDir(path)
     return path
