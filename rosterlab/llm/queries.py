@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import language, pieces, simhash
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,22 @@ def query(name: str, sql: str | None = None):
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.near_duplicates(read_table(spark, folder, "documents"), bits=4)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    model = language.fit(docs.where(~language.held_out()))
+    out = language.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op6_piece_encoding")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    coded = pieces.encode(read_table(spark, folder, "documents").select("doc_id", "text"), path="piece_bpe_32k.model", decode=True)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
