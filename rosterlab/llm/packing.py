@@ -96,22 +96,26 @@ def _first_basis(lengths: np.ndarray, demand: np.ndarray, width: int) -> list[tu
     return out
 
 
-def solve_patterns(lengths: np.ndarray, demand: np.ndarray, width: int = WIDTH, gap: float = 1e-3, rounds: int = 1000):
+def solve_patterns(lengths: np.ndarray, demand: np.ndarray, width: int = WIDTH, gap: float = 5e-4, rounds: int = 1000):
     """Basic solution of the linear program: list of (pattern, multiple); multiples are fractions of a pattern."""
-    m, row = len(lengths), {int(x): i for i, x in enumerate(lengths)}
     first = _first_basis(lengths, demand, width)
-    matrix, x, basis = np.zeros((m, m)), np.array([t for _, _, t in first]), [p for _, p, _ in first]
-    for j, pattern in enumerate(basis):
+    m, row = len(first), {used: i for i, (used, _, _) in enumerate(first)}
+    x, basis = np.array([t for _, _, t in first]), [p for _, p, _ in first]
+    inverse = np.eye(m)
+    for i, (used, pattern, _) in enumerate(first):  # a pattern holds no length used up before it: a triangular matrix
+        inverse[i] /= pattern[used]
         for size, k in pattern.items():
-            matrix[row[size], j] = k
-    inverse = np.linalg.inv(matrix)
+            if size != used:
+                inverse[row[size]] -= k * inverse[i]
     costs = np.array([float(_fill_cost(sum(s * k for s, k in p.items()), width)) for p in basis])
+    prices = (costs[:, None] * inverse).sum(axis=0)  # by length, in the order of ``row``
+    order = np.array(list(row))
     least = float((lengths * demand).sum()) / width
     for _ in range(rounds):
-        total = float(costs @ x)
+        total = float((costs * x).sum())
         if total - least <= gap * least:
             break
-        pattern, fill, value = _price(costs @ inverse, lengths, width)
+        pattern, fill, value = _price(prices, order, width)
         price = float(_fill_cost(fill, width))
         if value - price <= 1e-9 or total * (1 - price / value) <= gap * least:  # the bound that the prices prove
             break
@@ -130,6 +134,7 @@ def solve_patterns(lengths: np.ndarray, demand: np.ndarray, width: int = WIDTH,
         rows = np.flatnonzero(np.abs(column) > 1e-12)
         inverse[rows] -= np.outer(column[rows], pivot)
         inverse[out] = pivot
+        prices = prices - (value - price) * pivot
         basis[out], costs[out] = pattern, price
     return list(zip(basis, x.tolist()))
 
