@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, packing, pieces, simhash, urls
+from . import exact, imatch, language, packing, pieces, simhash, urls
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,13 @@ FROM n WINDOW w AS (PARTITION BY body ORDER BY n DESC, doc_id)
 @query("op10_exact_dedup", _OP10)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return exact.duplicates(read_table(spark, folder, "documents"))
+
+
+@query("op8_imatch_fingerprints")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    rows = imatch.fingerprints(read_table(spark, folder, "documents"))
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256",
+        imatch.as_hex(F.col("own")).alias("fingerprint"), imatch.as_hex(F.col("changed")).alias("edited_fingerprint"),
+        imatch.likeness(F.col("own"), F.col("changed")).alias("near_edited"), imatch.likeness(F.col("own"), F.col("following")).alias("near_next"),
+    )
