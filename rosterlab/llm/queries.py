@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, imatch, language, packing, pieces, simhash, urls
+from . import exact, imatch, language, lines, packing, pieces, simhash, urls
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
         imatch.as_hex(F.col("own")).alias("fingerprint"), imatch.as_hex(F.col("changed")).alias("edited_fingerprint"),
         imatch.likeness(F.col("own"), F.col("changed")).alias("near_edited"), imatch.likeness(F.col("own"), F.col("following")).alias("near_next"),
     )
+
+
+@query("op4_line_dedup")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    rows = lines.dedup_lines(read_table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "text", "n_lines", "n_kept")
