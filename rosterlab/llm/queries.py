@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, imatch, language, lines, packing, pieces, simhash, urls
+from . import exact, html_text, imatch, language, lines, packing, pieces, simhash, urls
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     rows = lines.dedup_lines(read_table(spark, folder, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "text", "n_lines", "n_kept")
+
+
+@query("op3_html_main_text")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.main_text(read_table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
