@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, html_text, imatch, language, lines, packing, pieces, simhash, urls
+from . import exact, html_text, imatch, language, lines, packing, pieces, simhash, token_counts, urls
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,9 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_html_main_text")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.main_text(read_table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op5_edited_token_counts")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text").withColumn("edits", token_counts.sample_edits())
+    return token_counts.count_edited(docs).drop("text", "edits")
