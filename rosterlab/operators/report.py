@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .ordered import prefix_sums, top_rows, with_group_stats
 
 
+LEAST_OWNERSHIP = 0.1
+HOT, COLD = 5.0, 3.5
+
+
 def position_filter(choice: str) -> Column:
     """ALL, HITTERS, SP, RP, or one eligible position."""
     if choice == "ALL":
@@ -59,17 +63,24 @@ def leverage_board(df: DataFrame, n: int = 10) -> DataFrame:
 
 
 def ceiling_board(df: DataFrame, n: int = 8) -> DataFrame:
-    """Largest gap between ceiling and median among available hitters."""
-    gap = df.filter(~F.col("is_pitcher") & ~F.col("is_banned")).withColumn("ceiling_gap", F.col("pts_q85") - F.col("pts_q50"))
+    """Largest gap between ceiling and median among available players, pitchers included."""
+    gap = df.filter(~F.col("is_banned")).withColumn("ceiling_gap", F.col("pts_q85") - F.col("pts_q50"))
     return gap.orderBy(F.col("ceiling_gap").desc(), "player_id").limit(n)
 
 
+def median_leverage_board(df: DataFrame, n: int = 10) -> DataFrame:
+    """Largest median per point of ownership (0.1 at least), of all players."""
+    board = df.withColumn("median_leverage", F.col("pts_q50") / F.greatest(F.col("ownership_proj"), F.lit(LEAST_OWNERSHIP)))
+    return board.orderBy(F.col("median_leverage").desc(), "player_id").limit(n)
+
+
 def leverage_scatter(df: DataFrame) -> DataFrame:
-    """Points for the ownership/points chart with the pool means and the quadrant."""
+    """Points for the ownership/points chart with the pool means, the quadrant and the band of the leverage."""
     out = with_group_stats(df, [], {"mean_ownership": F.avg("ownership_proj"), "mean_points": F.avg("pts_q50")})
     high, popular = F.col("pts_q50") >= F.col("mean_points"), F.col("ownership_proj") >= F.col("mean_ownership")
     quadrant = F.when(high & ~popular, "leverage").when(high, "chalk").when(~popular, "punt").otherwise("trap")
-    return out.withColumn("quadrant", quadrant)
+    lev = F.col("leverage_score")
+    return out.withColumns({"quadrant": quadrant, "dot": F.when(lev >= 1.3, "green").when(lev >= 0.8, "amber").otherwise("grey")})
 
 
 def top_lists(df: DataFrame, sizes: dict[str, int] | None = None) -> DataFrame:
@@ -101,18 +112,35 @@ def model_vs_average(df: DataFrame) -> DataFrame:
     return df.withColumns({"source": F.when(F.abs(diff) > 0.1, "MODEL").otherwise("AVG"), "diff": F.round(diff, 2)})
 
 
-def pre_slate_report(df: DataFrame, totals: DataFrame) -> DataFrame:
-    """Sections of the morning report as (section, label, value) rows."""
-    row = lambda d, section, label, value: d.select(F.lit(section).alias("section"), F.col(label).cast("string").alias("label"), F.col(value).cast("double").alias("value"))
+def market_board(totals: DataFrame) -> DataFrame:
+    """Every team once with its highest implied total (0 without one) and whether it is hot or cold."""
+    best = totals.groupBy("team").agg(F.max(F.coalesce(F.col("implied_total").cast("double"), F.lit(0.0))).alias("implied_total"))
+    return best.withColumn("flag", F.when(F.col("implied_total") > HOT, "hot").when(F.col("implied_total") < COLD, "cold").otherwise(""))
+
+
+def pre_slate_report(df: DataFrame, totals: DataFrame, starters: DataFrame | None = None, freshness: DataFrame | None = None) -> DataFrame:
+    """Sections of the morning report as (section, label, value, flag) rows.
+
+    ``starters`` (team, status) and ``freshness`` (dataset, day) add the sections of the same names; a day is shown as the
+    number of days since 1970-01-01.
+    """
+    def row(d, section, label, value, flag=None):
+        flag = F.col(flag) if flag else F.lit("")
+        return d.select(F.lit(section).alias("section"), F.col(label).cast("string").alias("label"), F.col(value).cast("double").alias("value"), flag.alias("flag"))
+
     parts = [
-        row(top_totals(totals, 5), "market", "team", "implied_total"),
+        row(market_board(totals), "market", "team", "implied_total", "flag"),
         row(df.filter("is_banned"), "banned", "player_id", "pts_q50"),
         row(value_flags(df).filter("inflated"), "inflated", "player_id", "pts_q50"),
         row(df.orderBy(F.col("ownership_proj").desc(), "player_id").limit(10), "ownership", "player_id", "ownership_proj"),
-        row(leverage_board(df), "leverage", "player_id", "leverage_score"),
+        row(median_leverage_board(df), "leverage", "player_id", "median_leverage"),
     ]
     lists = top_lists(df)
-    parts.append(lists.select(F.concat(F.lit("top "), F.col("list")).alias("section"), F.col("player_id").cast("string").alias("label"), F.col("pts_q50").alias("value")))
+    parts.append(lists.select(F.concat(F.lit("top "), F.col("list")).alias("section"), F.col("player_id").cast("string").alias("label"), F.col("pts_q50").alias("value"), F.lit("").alias("flag")))
+    if starters is not None:
+        parts.append(row(starters.withColumn("_v", F.lit(None).cast("double")), "starters", "team", "_v", "status"))
+    if freshness is not None:
+        parts.append(row(freshness.withColumn("_v", F.datediff("day", F.lit("1970-01-01").cast("date"))), "freshness", "dataset", "_v"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -268,7 +268,7 @@ _POOL = [
     ("is_pitcher", "p_type IN ('PROMO', 'ECONOMY')"),
     ("pts_q50", "(p_partkey * 13 % 997) / 3.37e1"),
     ("pts_q15", "(p_partkey * 13 % 997) / 3.37e1 * 4.5e-1"),
-    ("pts_q85", "(p_partkey * 13 % 997) / 3.37e1 * 1.7e0"),
+    ("pts_q85", "(p_partkey * 13 % 997) / 3.37e1 * 1.2e0 + (p_partkey * 7 % 23) / 1.3e0"),
     ("ownership_proj", "1e0 + (p_partkey * 7 % 41) / 1.3e0"),
     ("is_banned", "p_size = 7"),
     ("is_locked", "p_size = 9"),

@@ -42,9 +42,9 @@ def _(t):
     return q.select("contest_id", "group_id", F.to_date("start_local").alias("local_date"))
 
 
-@query("F32_time_zone", "SELECT contest_id, strftime(local, '%I:%M %p') AS wall FROM qual", views=f"{b.CONTEST_SQL}, {ANY_DAY}")
+@query("F32_time_zone", "SELECT contest_id, strftime(start_utc::TIMESTAMP AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York', '%I:%M %p') AS wall FROM contests", views=b.CONTEST_SQL)
 def _(t):
-    c = b.contests(t).filter((F.col("game_type") == "F") & (F.col("entry_fee") <= 25) & (F.col("max_entries") >= 5000))
+    c = b.contests(t)
     local = F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), F.col("start_utc"))
     return c.select("contest_id", F.date_format(local, "hh:mm a").alias("wall"))
 
@@ -64,13 +64,13 @@ def _(t):
     return best.select((-F.col("m.g")).alias("group_id"), "m.name", "m.max_entries")
 
 
-@query("K11_slate_order", "SELECT group_id, row_number() OVER (ORDER BY max_entries DESC, group_id) AS place FROM roll ORDER BY max_entries DESC, group_id LIMIT 50", views=f"{b.CONTEST_SQL}, {ROLLUP.format(src='contests')}")
+@query("K11_slate_order", "SELECT group_id, row_number() OVER (ORDER BY max_entries DESC, group_id) AS place FROM roll", views=f"{b.CONTEST_SQL}, {ROLLUP.format(src='contests')}")
 def _(t):
     from ..operators.ordered import prefix_sums
 
     rows = SL.contest_rollup(b.contests(t)).select("group_id", "max_entries")
     placed = prefix_sums(rows, [], [F.col("max_entries").desc(), F.col("group_id")], out="place")
-    return placed.filter(F.col("place") <= 50).select("group_id", "place")
+    return placed.select("group_id", "place")
 
 
 @query("D37_qualifying_slates", "SELECT group_id, contest_count, max_entries, CAST(total_entries AS BIGINT) AS total_entries, max_prize_pool, name FROM roll", "max_prize_pool", views=f"{b.CONTEST_SQL}, {ONE_DAY}, {ROLLUP.format(src='qual')}")
@@ -676,12 +676,12 @@ def _(t):
     return R.pool_view(b.pool(t), "HITTERS", "red", "salary").select("player_id", "band")
 
 
-@query("K10_user_sort", "SELECT player_id, team, row_number() OVER (ORDER BY team ASC, player_id) AS place FROM pool ORDER BY team ASC, player_id LIMIT 25", views=P)
+@query("K10_user_sort", "SELECT player_id, team, row_number() OVER (ORDER BY team ASC, player_id) AS place FROM pool", views=P)
 def _(t):
     from ..operators.ordered import prefix_sums
 
     placed = prefix_sums(b.pool(t).select("player_id", "team"), [], [F.col("team"), F.col("player_id")], out="place")
-    return R.sort_by(placed, "place", descending=False).limit(25)
+    return R.sort_by(placed, "place", descending=False)
 
 
 @query("K02_leverage_board", "SELECT player_id, leverage_score FROM pool WHERE NOT is_pitcher AND NOT is_banned ORDER BY leverage_score DESC, player_id LIMIT 10", "leverage_score", views=P)
@@ -689,13 +689,13 @@ def _(t):
     return R.leverage_board(b.pool(t)).select("player_id", "leverage_score")
 
 
-@query("K03_ceiling_board", "SELECT player_id, pts_q85 - pts_q50 AS ceiling_gap FROM pool WHERE NOT is_pitcher AND NOT is_banned ORDER BY pts_q50 DESC, player_id LIMIT 8", "ceiling_gap", views=P)
+@query("K03_ceiling_board", "SELECT player_id, pts_q85 - pts_q50 AS ceiling_gap FROM pool WHERE NOT is_banned ORDER BY pts_q85 - pts_q50 DESC, player_id LIMIT 8", "ceiling_gap", views=P)
 def _(t):
     return R.ceiling_board(b.pool(t)).select("player_id", "ceiling_gap")
 
 
 @query("D91_boards", """SELECT 'leverage' AS board, player_id FROM (SELECT player_id FROM pool WHERE NOT is_pitcher AND NOT is_banned ORDER BY leverage_score DESC, player_id LIMIT 10) a
-UNION ALL SELECT 'ceiling', player_id FROM (SELECT player_id FROM pool WHERE NOT is_pitcher AND NOT is_banned ORDER BY pts_q50 DESC, player_id LIMIT 8) z""", views=P)
+UNION ALL SELECT 'ceiling', player_id FROM (SELECT player_id FROM pool WHERE NOT is_banned ORDER BY pts_q85 - pts_q50 DESC, player_id LIMIT 8) z""", views=P)
 def _(t):
     p = b.pool(t)
     one = lambda d, n: d.select(F.lit(n).alias("board"), "player_id")
@@ -711,9 +711,15 @@ def _(t):
     return R.top_lists(b.pool(t)).select("list", "place", "player_id")
 
 
-@query("K05_top_ownership", "SELECT player_id, ownership_proj FROM pool ORDER BY ownership_proj DESC, player_id LIMIT 10", "ownership_proj", views=P)
+LEVERAGE = "(SELECT player_id, pts_q50 / greatest(ownership_proj, 1e-1) AS lev FROM pool ORDER BY lev DESC, player_id LIMIT 10)"
+
+
+@query("K05_top_ownership", f"""SELECT 'ownership' AS board, player_id, ownership_proj AS value FROM (SELECT * FROM pool ORDER BY ownership_proj DESC, player_id LIMIT 10) a
+UNION ALL SELECT 'leverage', player_id, lev FROM {LEVERAGE} z""", "value", views=P)
 def _(t):
-    return R.sort_by(b.pool(t), "ownership_proj").limit(10).select("player_id", "ownership_proj")
+    p = b.pool(t)
+    one = lambda d, board, value: d.select(F.lit(board).alias("board"), "player_id", F.col(value).alias("value"))
+    return one(R.sort_by(p, "ownership_proj").limit(10), "ownership", "ownership_proj").unionByName(one(R.median_leverage_board(p), "leverage", "median_leverage"))
 
 
 @query("K06_top_totals", "SELECT team, implied_total FROM totals WHERE implied_total IS NOT NULL ORDER BY implied_total DESC, team LIMIT 5", "implied_total", views=TOT)
@@ -721,19 +727,22 @@ def _(t):
     return R.top_totals(b.totals(t), 5)
 
 
-@query("D92_leverage_scatter", """SELECT player_id, mo AS mean_ownership, mp AS mean_points, CASE WHEN pts_q50 >= mp AND ownership_proj < mo THEN 'leverage' WHEN pts_q50 >= mp THEN 'chalk' WHEN ownership_proj < mo THEN 'punt' ELSE 'trap' END AS quadrant
+@query("D92_leverage_scatter", """SELECT player_id, mo AS mean_ownership, mp AS mean_points, CASE WHEN pts_q50 >= mp AND ownership_proj < mo THEN 'leverage' WHEN pts_q50 >= mp THEN 'chalk' WHEN ownership_proj < mo THEN 'punt' ELSE 'trap' END AS quadrant,
+ CASE WHEN leverage_score >= 1.3e0 THEN 'green' WHEN leverage_score >= 8e-1 THEN 'amber' ELSE 'grey' END AS dot
 FROM (SELECT *, avg(ownership_proj) OVER () AS mo, avg(pts_q50) OVER () AS mp FROM pool) x""", "mean_ownership mean_points", views=P)
 def _(t):
-    return R.leverage_scatter(b.pool(t)).select("player_id", "mean_ownership", "mean_points", "quadrant")
+    return R.leverage_scatter(b.pool(t)).select("player_id", "mean_ownership", "mean_points", "quadrant", "dot")
 
 
-@query("D94_pre_slate_report", """SELECT 'market' AS section, team AS label, implied_total AS value FROM (SELECT * FROM totals WHERE implied_total IS NOT NULL ORDER BY implied_total DESC, team LIMIT 5) a
-UNION ALL SELECT 'banned', CAST(player_id AS VARCHAR), pts_q50 FROM pool WHERE is_banned UNION ALL SELECT 'inflated', CAST(player_id AS VARCHAR), pts_q50 FROM pool WHERE pts_q50 > 25
-UNION ALL SELECT 'ownership', CAST(player_id AS VARCHAR), ownership_proj FROM (SELECT * FROM pool ORDER BY ownership_proj DESC, player_id LIMIT 10) o
-UNION ALL SELECT 'leverage', CAST(player_id AS VARCHAR), leverage_score FROM (SELECT * FROM pool WHERE NOT is_pitcher AND NOT is_banned ORDER BY leverage_score DESC, player_id LIMIT 10) l
-UNION ALL SELECT 'top ' || list, CAST(player_id AS VARCHAR), pts_q50 FROM lists""", "value", views=f"{PT}, {LISTS}")
+@query("D94_pre_slate_report", f"""SELECT 'market' AS section, team AS label, v AS value, CASE WHEN v > 5 THEN 'hot' WHEN v < 3.5e0 THEN 'cold' ELSE '' END AS flag FROM (SELECT team, coalesce(implied_total, 0) AS v FROM totals) a
+UNION ALL SELECT 'banned', CAST(player_id AS VARCHAR), pts_q50, '' FROM pool WHERE is_banned UNION ALL SELECT 'inflated', CAST(player_id AS VARCHAR), pts_q50, '' FROM pool WHERE pts_q50 > 25
+UNION ALL SELECT 'ownership', CAST(player_id AS VARCHAR), ownership_proj, '' FROM (SELECT * FROM pool ORDER BY ownership_proj DESC, player_id LIMIT 10) o
+UNION ALL SELECT 'leverage', CAST(player_id AS VARCHAR), lev, '' FROM {LEVERAGE} l
+UNION ALL SELECT 'freshness', 'batting log', CAST(max(l_shipdate)::DATE - DATE '1970-01-01' AS DOUBLE), '' FROM lineitem
+UNION ALL SELECT 'top ' || list, CAST(player_id AS VARCHAR), pts_q50, '' FROM lists""", "value", views=f"{PT}, {LISTS}")
 def _(t):
-    return R.pre_slate_report(b.pool(t), b.totals(t))
+    fresh = t["lineitem"].agg(F.max(F.to_date("l_shipdate")).alias("day")).withColumn("dataset", F.lit("batting log"))
+    return R.pre_slate_report(b.pool(t), b.totals(t), freshness=fresh)
 
 
 @query("D96_notification_lists", """SELECT team AS label, implied_total AS value FROM (SELECT * FROM totals WHERE implied_total IS NOT NULL ORDER BY implied_total DESC, team LIMIT 3) a
