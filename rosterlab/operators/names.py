@@ -12,7 +12,6 @@ from ..session import checkpointed
 from .ordered import first_row, prefix_sums, top_rows
 
 THRESHOLD = 82.0
-_SHORT = 6  # up to this length single characters are compared too
 
 
 def name_register(event_names: DataFrame, register: DataFrame, players: DataFrame | None = None) -> DataFrame:
@@ -44,8 +43,13 @@ def _max_distance(threshold: float, length: Column) -> Column:
     return F.floor((length + longest) * share + 1e-9)
 
 
-def _grams(text: Column) -> Column:
-    """Two-letter pieces numbered by occurrence, plus single letters for short strings."""
+def _short(threshold: float, length: Column) -> Column:
+    """Whether a partner at the threshold may share none of the string's two-letter pieces."""
+    return length - 1 <= _max_distance(threshold, length) * 2
+
+
+def _grams(text: Column, threshold: float) -> Column:
+    """Two-letter pieces numbered by occurrence, plus single letters for strings that are short at the threshold."""
     n = F.length(text)
 
     def pieces(size: int) -> Column:
@@ -55,7 +59,7 @@ def _grams(text: Column) -> Column:
         seen = lambda g, i: F.size(F.filter(F.slice(raw, 1, i + 1), lambda x: x == g)).cast("string")
         return F.transform(raw, lambda g, i: F.concat(g, F.lit(f"\u0001{size}\u0001"), seen(g, i)))
 
-    single = F.when(n <= _SHORT, pieces(1)).otherwise(F.array().cast("array<string>"))
+    single = F.when(_short(threshold, n), pieces(1)).otherwise(F.array().cast("array<string>"))
     return F.concat(pieces(2), single)
 
 
@@ -64,15 +68,19 @@ def similar_names(left: DataFrame, right: DataFrame, threshold: float = THRESHOL
 
     Both frames have one column ``key``. Similar strings must share one of their rarest two-letter pieces: at
     distance d at most 2 d pieces differ, so comparing each string's 2 d + 1 rarest pieces loses no
-    pair. Rarest-first keeps common pieces, and with them large join groups, out of the join.
+    pair. Rarest-first keeps common pieces, and with them large join groups, out of the join. Where a string has
+    no more than 2 d pieces, all of them and its single letters are compared, of which similar strings share one at
+    any threshold above 0; a low threshold makes every string such a one.
     """
+    if not 0 < threshold <= 100:
+        raise ValueError("threshold must be above 0 and at most 100")
     l, r = left.select("key").filter(F.col("key") != "").distinct(), right.select("key").filter(F.col("key") != "").distinct()
-    gl, gr = (d.select("key", F.explode(_grams(F.col("key"))).alias("gram")) for d in (l, r))
+    gl, gr = (d.select("key", F.explode(_grams(F.col("key"), threshold)).alias("gram")) for d in (l, r))
     weight = gl.unionByName(gr).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
     def rarest(g: DataFrame, name: str) -> DataFrame:
         n = F.length("key")
-        limit = F.when(n <= _SHORT, F.lit(3 * _SHORT)).otherwise(_max_distance(threshold, n) * 2 + 1)
+        limit = F.when(_short(threshold, n), n * 2).otherwise(_max_distance(threshold, n) * 2 + 1)
         w = Window.partitionBy("key").orderBy("n", "gram")  # as many rows as the string has letters
         ranked = g.join(weight, "gram").withColumn("_r", F.row_number().over(w))
         return ranked.filter(F.col("_r") <= limit).select("gram", F.col("key").alias(name))

@@ -212,17 +212,15 @@ def snapshot_diff(before: DataFrame, after: DataFrame, keys: Sequence[str], valu
     return out.filter(F.col("change").isNotNull()).drop("_a", "_b")
 
 
-def map_signature(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Order-independent fingerprint of a key/value table, for change detection.
+def map_signature(df: DataFrame, key: str, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Order-independent fingerprint of a key/value table (of each group of ``by``), for change detection.
 
-    Row hashes are combined with commutative sums, so the table is never gathered.
+    Row digests are cut into four numbers that are summed, so the table is never gathered.
     """
     pair = F.concat_ws("\u0001", F.col(key).cast("string"), F.col(value).cast("string"))
-    half = lambda i: F.conv(F.substring(F.md5(pair), 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")
-    return df.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(half(0)).cast("string"), F.lit("0")).alias("h1"),
-        F.coalesce(F.sum(half(1)).cast("string"), F.lit("0")).alias("h2"),
-    ).select("n", F.concat_ws("-", "h1", "h2").alias("signature"))
+    part = lambda i: F.conv(F.substring(F.md5(pair), 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")
+    sums = [F.coalesce(F.sum(part(i)).cast("string"), F.lit("0")) for i in range(4)]
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.concat_ws("-", *sums).alias("signature"))
 
 
 def constraint_overlay(pool: DataFrame, actions: DataFrame) -> DataFrame:

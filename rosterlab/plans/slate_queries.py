@@ -230,13 +230,10 @@ def _(t):
     return b.pool(t).select("player_id", F.array_contains(e, "OF").alias("has"), F.size(e).alias("n"), F.arrays_overlap(e, F.array(F.lit("C"), F.lit("P"))).alias("any_of"))
 
 
-@query("F38_map_signature", """SELECT team, count(*) AS n, CAST(sum(CAST('0x' || substr(h, 1, 12) AS HUGEINT)) AS VARCHAR) || '-' || CAST(sum(CAST('0x' || substr(h, 13, 12) AS HUGEINT)) AS VARCHAR) AS signature
+@query("F38_map_signature", "SELECT team, count(*) AS n, " + " || '-' || ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS HUGEINT)) AS VARCHAR)" for i in range(4)) + """ AS signature
 FROM (SELECT team, md5(player_id || chr(1) || name) AS h FROM pool) x GROUP BY 1""", views=P)
 def _(t):
-    # The signature of each team's (player, name) table, in one grouped pass.
-    pair = F.concat_ws("\u0001", F.col("player_id").cast("string"), F.col("name"))
-    half = lambda i: F.sum(F.conv(F.substring(F.md5(pair), 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")).cast("string")
-    return b.pool(t).groupBy("team").agg(F.count(F.lit(1)).alias("n"), F.concat_ws("-", half(0), half(1)).alias("signature"))
+    return SL.map_signature(b.pool(t), "player_id", "name", by=["team"])
 
 
 @query("F39_output_rounding", "SELECT player_id, round(pts_q50, 2) AS q50, round(leverage_score, 3) AS lev FROM pool", "q50 lev", views=P)

@@ -71,8 +71,8 @@ def flatten_probables(df: DataFrame, payload: str = "payload") -> DataFrame:
     side = "struct<team: struct<abbreviation: string>, probablePitcher: struct<fullName: string>>"
     schema = f"dates array<struct<games: array<struct<teams: struct<home: {side}, away: {side}>>>>"
     schema += ">"
-    first = F.get(F.from_json(F.col(payload), schema)["dates"], 0)["games"]
-    sides = df.select(F.explode(first).alias("g")).select(F.explode(F.array("g.teams.home", "g.teams.away")).alias("s"))
+    games = F.flatten(F.from_json(F.col(payload), schema)["dates"]["games"])
+    sides = df.select(F.explode(games).alias("g")).select(F.explode(F.array("g.teams.home", "g.teams.away")).alias("s"))
     team = F.coalesce(F.col("s.team.abbreviation"), F.lit(""))
     rows = sides.select(
         F.coalesce(lookup(team, S.TEAM_ALIAS), team).alias("team"),

@@ -43,8 +43,8 @@ def _lines(files: DataFrame) -> DataFrame:
 
 
 def _headers(lines: DataFrame) -> DataFrame:
-    """Header per file: the first line when it is the classic one, else the prefixed header within the
-    first lines, else the first line with ``known`` false."""
+    """Header per file: the first line when it is the classic one, else the first prefixed header in
+    the file, else the first line with ``known`` false."""
     names = F.array(*[F.lit(c) for c in S.SALARY_COLUMNS])
     blank = F.array(*[F.lit("")] * S.SALARY_PREFIX)
     classic = F.slice("cells", 1, len(S.SALARY_COLUMNS)) == names
@@ -52,7 +52,7 @@ def _headers(lines: DataFrame) -> DataFrame:
     prefixed = (F.slice("cells", 1, S.SALARY_PREFIX) == blank) & (F.slice("cells", S.SALARY_PREFIX + 1, len(S.SALARY_COLUMNS)) == names)
     at = lambda cond, rank: F.min(F.when(cond, F.struct(F.lit(rank).alias("rank"), "pos", "cells")))
     best = F.least(
-        at((F.col("pos") == 0) & classic, 0), at((F.col("pos") < S.SALARY_SCAN_LINES) & prefixed, 1), at(F.col("pos") == 0, 2),
+        at((F.col("pos") == 0) & classic, 0), at(prefixed, 1), at(F.col("pos") == 0, 2),
     )
     found = lines.groupBy("path").agg(best.alias("h"))
     return found.select("path", F.col("h.pos").alias("_at"), F.col("h.cells").alias("_names"), (F.col("h.rank") < 2).alias("known"))

@@ -24,7 +24,7 @@ def words(seed, n, short=False):
     return sorted({"".join(rng.choice("abcde ") for _ in range(rng.randint(*size))).strip() for _ in range(n)} - {""})
 
 
-@pytest.mark.parametrize("threshold", [82.0, 80.0])
+@pytest.mark.parametrize("threshold", [82.0, 80.0, 70.0, 60.0])
 @pytest.mark.parametrize("short", [False, True])
 def test_similarity_join_loses_no_pair(spark, threshold, short):
     left = words(1, 150, short)
