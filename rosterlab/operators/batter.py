@@ -68,8 +68,8 @@ def batter_rolling(
     pa: DataFrame, windows: Sequence[int] = S.WINDOWS, key: str = "batter", order: Sequence[str] = PITCH_ORDER,
     exclude_current: bool = False,
 ) -> DataFrame:
-    """Rolling contact, power and discipline rates with short-against-long trends."""
-    df = event_flags(pa)
+    """Rolling contact, power and discipline rates with short-against-long trends; rows without a player go."""
+    df = event_flags(pa.filter(F.col(key).isNotNull()))
     stats = dict(ROLLING)
     babip = "babip_value" in df.columns
     if babip:
@@ -178,8 +178,9 @@ def to_game_level(
 ) -> DataFrame:
     """One row per player and day: points summed, rolling features last, context first.
 
-    "Last" and "first" skip NULLs per column, and follow the stated order.
+    "Last" and "first" skip NULLs per column, and follow the stated order. Rows without a player go.
     """
+    df = df.filter(F.col(key).isNotNull())
     known = set(df.columns)
     last = rolling_columns(df.columns) + [
         c for c in ("platoon_split_magnitude", "batting_order_multiplier", "park_factor", "p_throws", "stand",
@@ -302,6 +303,7 @@ def batter_feature_matrix(
     order: Sequence[str] = PITCH_ORDER,
 ) -> DataFrame:
     """Player-day matrix: the 26 features, counting stats and the label ``points_game``."""
+    pitches = pitches.filter(F.col("batter").isNotNull())
     pa = platoon(batter_rolling(terminal_only(pitches), order=order), pitches)
     games = to_game_level(score_events(park_factor(pa)), order=order)
     games = join_counting_stats(games, hitting_logs, label="points_game")

@@ -163,8 +163,7 @@ def _(t):
     return page_items(t["pages"], key="page_id", html="html").select("page_id", "href", "title", "place")
 
 
-@query("F16_slug_to_name", r"""SELECT page_id, url, array_to_string(list_transform(list_filter(string_split(replace(regexp_replace(trim(split_part(string_split(url, '.example.com/')[-1], '?', 1), '/'), '-[^-]*$', ''), '-', ' '), ' '), lambda w: w <> ''),
-  lambda w: upper(w[1]) || lower(w[2:])), ' ') AS name FROM pages WHERE contains(url, '.example.com/')""")
+@query("F16_slug_to_name", r"""SELECT page_id, url, CASE WHEN contains(url, '.example.com/') THEN array_to_string(list_transform(list_filter(string_split(replace(regexp_replace(trim(split_part(string_split(url, '.example.com/')[-1], '?', 1), '/'), '-[^-]*$', ''), '-', ' '), ' '), lambda w: w <> ''),
+  lambda w: upper(w[1]) || lower(w[2:])), ' ') END AS name FROM pages""")
 def _(t):
-    p = t["pages"].filter(F.contains("url", F.lit(".example.com/")))
-    return p.select("page_id", "url", slug_name("url", r".example.com/").alias("name"))
+    return t["pages"].select("page_id", "url", slug_name("url", r".example.com/").alias("name"))

@@ -374,13 +374,15 @@ def _(t):
     return starters(t)
 
 
-@query("D38_team_ids", "SELECT DISTINCT team, CAST(substr(team, 2) AS INTEGER) + 107 AS team_id FROM pool WHERE CAST(substr(team, 2) AS INTEGER) BETWEEN 1 AND 14", views=P)
+# The pool's teams B1, B2, ... stand for the league's team ids in ascending order.
+_TEAMS = {f"B{i}": k for i, k in enumerate(sorted(S.TEAM_ID), 1)}
+
+
+@query("D38_team_ids", f"SELECT DISTINCT team, team_id FROM pool JOIN (VALUES {', '.join(f'({t!r}, {k})' for t, k in _TEAMS.items())}) v(own, team_id) ON team = own", views=P)
 def _(t):
-    # Teams carry the codes of ids 108..121 in id order here.
-    names = {f"B{i}": S.TEAM_ID[107 + i] for i in range(1, 15)}
     from ..functions.columns import lookup
 
-    mapped = b.pool(t).select(F.col("team").alias("own"), lookup("team", names).alias("team"))
+    mapped = b.pool(t).select(F.col("team").alias("own"), lookup("team", {n: S.TEAM_ID[k] for n, k in _TEAMS.items()}).alias("team"))
     ids = SL.team_ids(mapped)
     return mapped.distinct().join(ids, "team").select(F.col("own").alias("team"), "team_id")
 

@@ -154,8 +154,8 @@ def _(t):
 
 @query("D81_predict")
 def _(t):
-    train, test = holdout(_labelled(t), "l_shipdate", 1998, 5)
-    return _model(train).predict(test, keep=["l_orderkey", "l_linenumber"])
+    train, _ = holdout(_labelled(t), "l_shipdate", 1998, 5)
+    return _model(train).predict(_labelled(t), keep=["l_orderkey", "l_linenumber"])
 
 
 @query("D82_role_models")

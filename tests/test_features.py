@@ -166,3 +166,11 @@ def test_row_order_and_partitions_do_not_matter(spark, pitches):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert len(a) == len({(r[0], r[1]) for r in a})
+
+
+def test_rows_without_a_player_are_left_out(pitches):
+    holes = pitches.withColumn("batter", F.when(F.col("at_bat_number") % 7 != 0, F.col("batter")))
+    rolled = B.batter_rolling(B.terminal_only(holes))
+    assert rolled.count() and not rolled.where("batter is null").count()
+    games = B.to_game_level(B.score_events(B.terminal_only(holes)))
+    assert games.count() and not games.where("batter is null").count()
