@@ -199,11 +199,11 @@ def _(t):
 
 
 @query("D68_message_texts", f"""
-SELECT lineup_id, 'lineup has ' || players || ' players; expected exactly {SIZE}' AS message FROM roll WHERE players <> {SIZE}
-UNION ALL SELECT lineup_id, 'slot N: have ' || slot_N || ', need 2' FROM roll WHERE slot_N <> 2""", views=f"{LU}, {ROLL}")
+SELECT lineup_id, players || ' players, where {SIZE} belong' AS message FROM roll WHERE players <> {SIZE}
+UNION ALL SELECT lineup_id, 'slot N filled ' || slot_N || ' times instead of 2' FROM roll WHERE slot_N <> 2""", views=f"{LU}, {ROLL}")
 def _(t):
     v = L.validate_lineups(b.lineup_rows(t), **RULES)
-    return v.filter((F.col("rule") == "player_count") | F.startswith("message", F.lit("slot N:"))).select("lineup_id", "message")
+    return v.filter((F.col("rule") == "player_count") | F.startswith("message", F.lit("slot N "))).select("lineup_id", "message")
 
 
 VERDICT = "verdict AS (SELECT r.*, coalesce(e.e, 0) AS errors FROM roll r LEFT JOIN (SELECT lineup_id, count(*) FILTER (severity = 'error') AS e FROM viol GROUP BY 1) e ON r.lineup_id = e.lineup_id)"
@@ -218,13 +218,13 @@ def _(t):
 
 @query("D69_export_safety", f"""
 SELECT lineup_count, valid_lineup_count, len(blocking_issues) = 0 AS safe_to_export, blocking_issues, warnings FROM (
-  SELECT *, list_filter([CASE WHEN valid_lineup_count < 20 THEN 'only ' || valid_lineup_count || ' valid lineups; need 20 before export' END,
-           CASE WHEN with_scratched > 0 THEN with_scratched || ' lineup(s) contain a scratched player' END,
-           CASE WHEN below_floor > 0 THEN below_floor || ' lineup(s) have total salary below $60,000' END,
-           CASE WHEN with_unknown > 0 THEN with_unknown || ' lineup(s) have an unknown-status player and lock is in 15 minute(s)' END], lambda m: m IS NOT NULL) AS blocking_issues,
-         list_filter([CASE WHEN with_projected > 0 THEN with_projected || ' lineup(s) include a projected_starting (unconfirmed) player' END,
-           CASE WHEN in_low_band > 0 THEN in_low_band || ' lineup(s) have total salary in $60,000–$90,000 (low utilization)' END,
-           CASE WHEN lineup_count < 20 THEN 'only ' || lineup_count || ' lineups generated; target is 20' END], lambda m: m IS NOT NULL) AS warnings
+  SELECT *, list_filter([CASE WHEN valid_lineup_count < 20 THEN valid_lineup_count || ' valid lineups of the 20 that an export needs' END,
+           CASE WHEN with_scratched > 0 THEN 'scratched players in ' || with_scratched || ' lineups' END,
+           CASE WHEN below_floor > 0 THEN below_floor || ' lineups under the salary floor of 60,000' END,
+           CASE WHEN with_unknown > 0 THEN '15 minutes to lock, players of unknown status in ' || with_unknown || ' lineups' END], lambda m: m IS NOT NULL) AS blocking_issues,
+         list_filter([CASE WHEN with_projected > 0 THEN 'players not yet confirmed in ' || with_projected || ' lineups' END,
+           CASE WHEN in_low_band > 0 THEN in_low_band || ' lineups use little of the cap: 60,000 to 90,000' END,
+           CASE WHEN lineup_count < 20 THEN lineup_count || ' lineups made of 20 wanted' END], lambda m: m IS NOT NULL) AS warnings
   FROM ({_SAFE}) s) x""", views=f"{VALID}, {VERDICT}")
 def _(t):
     v = L.lineup_verdicts(b.lineup_rows(t), violations(t))
