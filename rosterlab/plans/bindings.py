@@ -168,11 +168,11 @@ outings AS (
 
 
 def order_logs(t: Tables) -> DataFrame:
-    return outings(t).select(F.col("player").alias("batter"), "game_pk", "game_date", F.col("qty").alias("runs"))
+    return t.once(outings).select(F.col("player").alias("batter"), "game_pk", "game_date", F.col("qty").alias("runs"))
 
 
 def order_teams(t: Tables) -> DataFrame:
-    return outings(t).select(F.col("player").alias("mlbam_id"), "game_pk", "game_date", "team", F.col("slot").alias("batting_order"))
+    return t.once(outings).select(F.col("player").alias("mlbam_id"), "game_pk", "game_date", "team", F.col("slot").alias("batting_order"))
 
 
 def order_pitching(t: Tables) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import new_dir
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -18,6 +20,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         self.schemas: dict[str, T.StructType] = {}
+        self.stored: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
@@ -28,6 +31,15 @@ class Tables:
             self.schemas[name] = self.spark.read.parquet(self.path(name)).schema
         return self.spark.read.schema(self.schemas[name]).parquet(self.path(name))
 
+    def once(self, make: Callable[[Tables], DataFrame]) -> DataFrame:
+        """``make(self)`` as a written table, for queries that read it several times."""
+        if make.__name__ not in self.stored:
+            df = make(self)
+            path = new_dir(self.spark, make.__name__)
+            df.write.parquet(path)
+            self.stored[make.__name__] = self.spark.read.schema(df.schema).parquet(path)
+        return self.stored[make.__name__]
+
 
 def tidy(df: DataFrame, dp: int = 8) -> DataFrame:
     """Comparable output: rounded doubles without negative zero, 64-bit integers."""

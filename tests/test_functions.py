@@ -77,3 +77,18 @@ def test_normal(spark):
     assert abs([r["p"] for r in got if r["z"] == 1.0][0] - 0.8413447) < 1e-6
     u = spark.range(2000).select(hash_uniform("id", F.lit(3)).alias("u")).agg(F.avg("u"), F.min("u"), F.max("u")).first()
     assert abs(u[0] - 0.5) < 0.02 and u[1] > 0 and u[2] < 1
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from rosterlab.session import shared_dir
+
+    def session(master, folder=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: folder), sparkContext=context)
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://host"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(session(master))
+        assert shared_dir(session(master, "/shared")) == "/shared"
