@@ -91,7 +91,7 @@ event_logs AS (
 
 def event_orders(t: Tables) -> DataFrame:
     """Posted batting orders: every (game, batter) pair of the events."""
-    p = pitches(t)
+    p = t.stored["pitches"] if "pitches" in t.stored else pitches(t)
     return p.groupBy("game_pk", "game_date", F.col("batter").alias("mlbam_id")).agg(
         F.min(F.when(F.col("inning_topbot") == "Top", F.col("away_team")).otherwise(F.col("home_team"))).alias("team"),
         F.min((F.col("batter") + F.col("game_pk")) % 11).cast("int").alias("batting_order"),

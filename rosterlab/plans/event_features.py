@@ -448,7 +448,7 @@ _BM = S.batter_feature_columns()
 
 
 def batter_matrix(t):
-    p = b.pitches(t)
+    p = t.once(b.pitches)
     starters = P.pitcher_feature_matrix(p, b.event_pitching_logs(t))
     return B.batter_feature_matrix(p, b.event_logs(t), b.event_orders(t), starters)
 
