@@ -13,18 +13,35 @@ def read_table(spark, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, **options) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there, and any executor can read it again."""
-    return written_at(df, label)[0]
+    return written_at(df, label, **options)[0]
 
 
-def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def written_at(df: DataFrame, label: str, **options) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = new_dir(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Scratch:
+    """Written tables that go together once a result no longer reads them: ``scratch(df, label)``, then ``clear()``."""
+
+    def __init__(self):
+        self.tables: list[tuple] = []
+
+    def __call__(self, df: DataFrame, label: str, **options) -> DataFrame:
+        table, path = written_at(df, label, **options)
+        self.tables.append((df.sparkSession, path))
+        return table
+
+    def clear(self) -> None:
+        for spark, path in self.tables:
+            forget(spark, path)
+        self.tables.clear()
+
+
 def forget(spark, path: str) -> None:
     """Delete a table of this run that nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

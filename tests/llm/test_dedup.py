@@ -121,7 +121,7 @@ def plain_lines(rows, spark):
     hashed = {r["w"]: r["h"] & (1 << 64) - 1 for r in spark.createDataFrame([(w,) for w in {w for d in distinct for w in d.split(" ")}], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
 
     def fp(line):
-        hs = [hashed[w] for w in line.split(" ")]
+        hs = [hashed[w] for w in set(line.split(" "))]
         return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hs) * 2 > len(hs))
 
     prints = {d: fp(d) for d in distinct}
