@@ -12,8 +12,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Rows handled at once in a Python task, so that memory follows the longest texts of few rows.
 SLICE = 256
-#: Entries of a word cache; a full cache is emptied, which costs time and changes nothing.
-CACHE = 300_000
+#: Entries of a word cache, about 200 bytes each.
+CACHE = 600_000
 
 
 def worker_state(key, make):
@@ -44,14 +44,22 @@ def tokenizer_file(path: str) -> str:
 
 
 class WordCache(dict):
-    """Values by word, computed on a miss by ``fill(word)``."""
+    """Values by word, computed on a miss by ``fill(word)``.
+
+    Holds two generations of half the limit each: when the newer one is full, it becomes the older one, and words found
+    there move up again, so frequent words stay.
+    """
 
     def __init__(self, fill, limit: int = CACHE):
         super().__init__()
-        self.fill, self.limit = fill, limit
+        self.fill, self.half, self.older = fill, max(1, limit // 2), {}
 
     def __missing__(self, word):
-        if len(self) >= self.limit:
+        value = self.older.get(word)
+        if value is None:
+            value = self.fill(word)
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
-        value = self[word] = self.fill(word)
+        self[word] = value
         return value
