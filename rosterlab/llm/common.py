@@ -92,5 +92,35 @@ def components(edges: DataFrame, limit: int = 100) -> DataFrame:
     )
 
 
+def grouped_by_links(met: DataFrame, verified, similarity: float, store: Scratch) -> DataFrame:
+    """Components, as of ``components``, of the links among all pairs that share a block.
+
+    ``met`` is a written table ``(block, key, size, class)``, a class the whole part of the logarithm of the size to the base
+    ``1 / similarity``; ``verified`` keeps the pairs ``(a, b)`` of keys that are links. Links need sizes within ``similarity``.
+    """
+    alike = lambda a, b: F.least(a, b) >= F.greatest(a, b) * similarity - 1e-9
+    leaders = met.groupBy("block", "class").agg(F.min("key").alias("leader"), F.min_by("size", "key").alias("leader_size"))
+    leaders = leaders.select("block", F.explode(F.array("class", F.col("class") + 1)).alias("class"), "leader", "leader_size")
+    pairs = met.join(leaders, ["block", "class"]).where("key <> leader").where(alike("size", "leader_size"))
+    pairs = store(pairs.select(F.greatest("key", "leader").alias("a"), F.least("key", "leader").alias("b")).distinct(), "pairs")
+    links = store(verified(pairs), "links-found")
+    roots = components(links)
+    own = met.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    mixed = own.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", "key").alias("first")).where("low <> high").select("block", "first")
+    own = store(own.join(mixed, "block").select("block", "key", "size", "root", "first"), "members")
+    rest = own.where("root <> first").select("block", F.col("key").alias("a"), F.col("size").alias("sa"), F.col("root").alias("ra"))
+    if rest.limit(1).count():
+        # two members outside the first component meet once, from the smaller root
+        other = own.select("block", F.col("key").alias("b"), F.col("size").alias("sb"), F.col("root").alias("rb"), "first")
+        once = (F.col("rb") == F.col("first")) | (F.col("ra") < F.col("rb"))
+        more = rest.join(other, "block").where((F.col("ra") != F.col("rb")) & once & alike("sa", "sb"))
+        more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        more = store(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if more.limit(1).count():
+            links = links.union(verified(more))
+            roots = components(links)
+    return roots
+
+
 def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 30)))).first())
