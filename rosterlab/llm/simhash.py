@@ -144,8 +144,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` as a written table with a number ``__row`` for each row, equal rows too."""
+    return written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
+def first_rows(rows: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of the ``numbered`` rows one of each group ``(__row, component_id)``: by id, nulls last, then text hash and number."""
+    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col("__row").alias("row"))
+    kept = rows.select("__row", place.alias("place")).join(groups, "__row").groupBy("component_id").agg(F.min("place").alias("place"))
+    return rows.join(kept.select(F.col("place.row").alias("__row")), "__row", "left_semi").drop("__row")
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One document of each group stays, the one with the smallest id; rows without an id stay."""
-    groups = near_duplicates(docs, id_col, text_col, **how)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """One row of each group stays, the one with the smallest id; repeated rows and rows without an id are no exception."""
+    rows = numbered(docs)
+    groups = near_duplicates(rows, "__row", text_col, **how).select("__row", "component_id")
+    return first_rows(rows, groups, id_col, text_col)

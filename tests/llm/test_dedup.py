@@ -233,3 +233,9 @@ def test_changed_words_are_found_by_edit_similarity_alone(spark):
             pairs += 1
     got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_kept = 0").collect()
     assert pairs > 200 and {r["doc_id"] for r in got} == {2 * p + 1 for p in range(pairs)}
+
+
+def test_keep_first_decides_by_row(spark):
+    rows = [(5, "one two three"), (5, "one two three"), (7, "four five six"), (7, "one two three"), (None, "four five six"), (None, "alone here")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[2], rows[5]], key=str)
