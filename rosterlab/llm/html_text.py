@@ -9,9 +9,10 @@ classes nest in the gaps between two of its tokens. What is left of a page, outs
 The text of a page is what its slots hold inside the article, or failing that the main element, or failing that the
 top-level gap of the template with most text over the group. Slots inside menus, headers, footers, sidebars,
 notices, adverts, forms and comments are left out, told by the elements the template puts around them (names, roles,
-class and id words). A block of text that the template itself holds inside the article, the same on every one of at least
-``SHARED`` pages, is no slot and goes, unless such blocks are a large part of the page: pages of one text are
-copies, not a template. Small groups have tags as their only template.
+class and id words). Text inside an article or main element stays, however many pages share it. On pages without either, a
+block of text that the template itself holds, the same on every one of at least ``SHARED`` pages, is no slot and goes,
+unless such blocks are a large part of the page: pages of one text are copies, not a template. Small groups have tags as
+their only template.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by a line end. Null
 html counts as empty. Rows are kept as they are, repeated ones too; extra columns are ignored.
@@ -233,7 +234,7 @@ def extract_group(pages: list[str]) -> list[str]:
         if wanted is None and any(s[1] == widest for s in chosen):
             chosen = [s for s in chosen if s[1] == widest or len(distinct) < SHARED]
         free = [s for s in chosen if not s[2]]
-        if sum(len(s[3]) for s in free) >= 0.5 * sum(len(s[3]) for s in chosen):
+        if wanted is None and sum(len(s[3]) for s in free) >= 0.5 * sum(len(s[3]) for s in chosen):
             chosen = free
         out.append("\n".join(s[3] for s in chosen))
     return out

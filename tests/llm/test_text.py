@@ -251,3 +251,11 @@ def test_fingerprint_edge_cases(spark):
     one = imatch.fingerprints(spark.createDataFrame([(1, "abcd efgh")], "doc_id long, text string")).first()
     assert one["edited_sha256"] == hashlib.sha256(b"abcd efab").hexdigest() and one["own"] == one["following"]
     assert imatch.fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_shared_paragraphs_of_articles_stay():
+    """A paragraph that all pages of a host share stays in the article, however many pages the group has."""
+    for element in ("article", "main"):
+        page = f"<html><body><nav>menu</nav><{element}><p>Own words of page %d.</p><p>Shared.</p><p>Twice.</p><p>Twice.</p></{element}></body></html>"
+        for n in (2, 8, 20):
+            assert html_text.extract_group([page % i for i in range(n)]) == [f"Own words of page {i}.\nShared.\nTwice.\nTwice." for i in range(n)]
