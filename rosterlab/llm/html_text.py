@@ -48,7 +48,9 @@ BLOCKS = frozenset(
 )
 SPACED = frozenset("br td th img input wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object video audio canvas".split())
+RAW = frozenset("script style noscript template textarea iframe".split())
+#: Elements of other languages, where a start tag with /> is a whole element.
+FOREIGN = frozenset("svg math".split())
 ASIDE = frozenset("nav header footer aside form head menu button select dialog fieldset".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 ASIDE_WORDS = frozenset(
@@ -62,6 +64,7 @@ _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>" + "|".join(sorted(RAW)) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    r"|<svg(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<!/)>.*?</svg\s*>"
     r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<more>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -124,7 +127,7 @@ def tokens(page: str) -> list[tuple]:
                     out.append(("tag", f"{top.path}/>", "", top))
                 top = top.parent
             where = top
-        elif name not in VOID:
+        elif name not in VOID and not (name in FOREIGN and m["more"].endswith("/")):
             if name in BLOCKS:
                 e = top
                 while e and (e.name == "p" or e.name not in BLOCKS):  # a block ends an open paragraph

@@ -259,3 +259,14 @@ def test_shared_paragraphs_of_articles_stay():
         page = f"<html><body><nav>menu</nav><{element}><p>Own words of page %d.</p><p>Shared.</p><p>Twice.</p><p>Twice.</p></{element}></body></html>"
         for n in (2, 8, 20):
             assert html_text.extract_group([page % i for i in range(n)]) == [f"Own words of page {i}.\nShared.\nTwice.\nTwice." for i in range(n)]
+
+
+def test_empty_and_open_elements_do_not_swallow_the_article():
+    page = "<article><p>a %s b</p><p>rest of the article</p></article>"
+    for tag in ('<svg class="search"/>', "<svg>", "<math/>", '<object data="x">', "<video>", "<audio>", "<canvas>"):
+        assert html_text.extract_group([page % tag]) == ["a b\nrest of the article"]
+    for tag in ("math", "object", "video", "audio", "canvas"):
+        assert html_text.extract_group([page % f"<{tag}>in it</{tag}>"]) == ["a in it b\nrest of the article"]
+    assert html_text.extract_group([page % "<svg><title>t</title></svg>"]) == ["a b\nrest of the article"]
+    assert html_text.extract_group([page % '<svg class="i"/>x<svg><text>t</text></svg>']) == ["a x b\nrest of the article"]
+    assert html_text.extract_group(["<p>a</p><script>open <p>b</p>"]) == ["a"]
