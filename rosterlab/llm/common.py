@@ -33,12 +33,16 @@ class Scratch:
 
     def __call__(self, df: DataFrame, label: str, **options) -> DataFrame:
         table, path = written_at(df, label, **options)
-        self.tables.append((df.sparkSession, path))
+        self.tables.append((table, path))
         return table
 
+    def release(self, table: DataFrame) -> None:
+        """Take a table that is still read out of those that go."""
+        self.tables = [t for t in self.tables if t[0] is not table]
+
     def clear(self) -> None:
-        for spark, path in self.tables:
-            forget(spark, path)
+        for table, path in self.tables:
+            forget(table.sparkSession, path)
         self.tables.clear()
 
 

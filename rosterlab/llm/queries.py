@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, html_text, imatch, language, lines, packing, pieces, simhash, token_counts, urls
+from . import exact, html_text, imatch, language, lines, merkle, packing, pieces, simhash, token_counts, urls
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,44 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "text").withColumn("edits", token_counts.sample_edits())
     return token_counts.count_edited(docs).drop("text", "edits")
+
+
+_OP13 = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, lang, n_chars, text, replace(text, chr(10), '') AS cut,
+         list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+                     lambda c, x: xor(xor(c, x) >> 1, CASE WHEN xor(c, x) & 1 = 1 THEN 3988292384 ELSE 0 END)) & 1 AS last_bit
+  FROM documents),
+f AS (SELECT doc_id, source, last_bit,
+  coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+  coalesce(strlen(text) || ':' || text, '-') AS body, coalesce(strlen(cut) || ':' || cut, '-') AS cut FROM d),
+leaf AS (SELECT doc_id, source, sha256(head || body) AS h, sha256(head || CASE WHEN last_bit = 1 THEN cut ELSE body END) AS fake,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS p, count(*) OVER (PARTITION BY source) AS n FROM f),
+tree AS (SELECT source, 0 AS l, p, h, n FROM leaf UNION ALL
+  SELECT source, l + 1, p // 3, sha256(string_agg(h, '' ORDER BY p)), (n + 2) // 3 FROM tree WHERE n > 1 GROUP BY source, l, p // 3, n),
+subs AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS p, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (SELECT 0 AS l, p, subroot AS h, n FROM subs UNION ALL
+  SELECT l + 1, p // 3, sha256(string_agg(h, '' ORDER BY p)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY l, p // 3, n),
+nodes AS (SELECT coalesce('s' || source, '-') AS t, l, p, h FROM tree WHERE n > 1 UNION ALL SELECT '', l, p, h FROM top WHERE n > 1),
+fam AS (SELECT t, l, p // 3 AS q, max(CASE WHEN p % 3 = 0 THEN h END) AS a, max(CASE WHEN p % 3 = 1 THEN h END) AS b, max(CASE WHEN p % 3 = 2 THEN h END) AS c FROM nodes GROUP BY ALL),
+side AS (SELECT t, l, p, CASE p % 3 WHEN 0 THEN '' WHEN 1 THEN a ELSE a || b END AS low,
+    CASE p % 3 WHEN 0 THEN coalesce(b, '') || coalesce(c, '') WHEN 1 THEN coalesce(c, '') ELSE '' END AS high
+  FROM nodes JOIN fam USING (t, l) WHERE fam.q = nodes.p // 3),
+up AS (SELECT doc_id, source, coalesce('s' || source, '-') AS t, 0 AS l, p, fake AS h, '' AS proof FROM leaf UNION ALL
+  SELECT up.doc_id, up.source, CASE WHEN s.t IS NULL THEN '' ELSE up.t END, CASE WHEN s.t IS NULL THEN 0 ELSE up.l + 1 END,
+         CASE WHEN s.t IS NULL THEN subs.p ELSE up.p // 3 END, CASE WHEN s.t IS NULL THEN up.h ELSE sha256(s.low || up.h || s.high) END, up.proof || coalesce(s.low || s.high, '')
+  FROM up LEFT JOIN side s ON s.t = up.t AND s.l = up.l AND s.p = up.p JOIN subs ON subs.source IS NOT DISTINCT FROM up.source WHERE s.t IS NOT NULL OR up.t <> ''),
+ends AS (SELECT doc_id, source, h, proof, row_number() OVER (PARTITION BY doc_id ORDER BY l DESC) AS k FROM up WHERE t = '')
+SELECT leaf.doc_id, leaf.h AS leaf, subs.subroot, root.h AS root, sha256(ends.proof) AS proof_sha256, ends.h AS folded_root, ends.h = root.h AS verified
+FROM leaf JOIN ends ON ends.doc_id = leaf.doc_id AND ends.k = 1 JOIN subs ON subs.source IS NOT DISTINCT FROM leaf.source CROSS JOIN (SELECT h FROM top WHERE n = 1) root
+"""
+
+
+@query("op13_merkle_manifest", _OP13)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(hit, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    rows = merkle.manifest(docs, tampered={"text": text})
+    rows = rows.withColumn("folded_root", merkle.folded("fake"))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_hash().alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
