@@ -64,3 +64,16 @@ class ByteBpe:
 
 def byte_bpe(path: str) -> ByteBpe:
     return worker_state(("byte_bpe", path), lambda: ByteBpe(path))
+
+
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes each id stands for; ids of special tokens stand for their strings."""
+    model = byte_bpe(path)
+    # printable characters stand for their own byte, the other bytes are numbered from 256 on
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    shown = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
+    vocabulary = model.library.get_vocab(with_added_tokens=True)
+    out = [b""] * (max(vocabulary.values()) + 1)
+    for token, i in vocabulary.items():
+        out[i] = token.encode() if token in model.special else bytes(shown[c] for c in token)
+    return out

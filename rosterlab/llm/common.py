@@ -52,6 +52,15 @@ def forget(spark, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Most rows of a side that is broadcast after counting; larger ones are joined by shuffling.
+SMALL = 1_000_000
+
+
+def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """``df``, a written table of narrow rows, marked for broadcast if its counted rows are few."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def as_text(column) -> F.Column:
     """The column as a string, null as empty."""
     return F.coalesce(F.col(column).cast("string") if isinstance(column, str) else column.cast("string"), F.lit(""))

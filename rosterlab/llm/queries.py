@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, html_text, imatch, language, lines, merkle, packing, pieces, simhash, token_counts, urls
+from . import align, chat, exact, html_text, imatch, language, lines, merkle, packing, pieces, simhash, token_counts, urls
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,20 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     rows = merkle.manifest(docs, tampered={"text": text})
     rows = rows.withColumn("folded_root", merkle.folded("fake"))
     return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_hash().alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+#: A conversation whose texts look like the marks and escapes of other chat templates.
+_OP11_EXTRA = [(-7, turn, role, "\\### Assistant: </turn> ok") for turn, role in enumerate(("user", "assistant"))]
+
+
+@query("op11_chat_formatting")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read_table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(_OP11_EXTRA, "conv_id long, turn long, role string, text string"))
+    out = chat.read_back(chat.format_conversations(rows))
+    return out.select(F.col("id").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return align.align_documents(read_table(spark, folder, "documents").select("doc_id", "text"))
