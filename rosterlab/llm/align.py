@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import byte_bpe, token_bytes
-from .common import Scratch
+from .common import Scratch, heavy_join
 from .common_py import slices, tokenizer_file, worker_state
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -155,15 +155,12 @@ def align_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     measures = texts.drop("pairs", "times").join(found, "digest", "left")
     measures = store(measures.select("digest", "copies", *MEASURES, F.coalesce("n_best", F.lit(0)).alias("n_best"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"), "groups_sha256"), "text-measures")
 
-    many = max(1000, hot_count(measures, "copies", 10_000))
-    often, seldom = measures.where(F.col("copies") >= many), measures.where(F.col("copies") < many)
     keys = store(rows.select("id", F.when(F.col("text") != "", F.unhex(F.sha2("text", 256))).alias("digest")), "text-keys")
     columns = [F.col("id").alias(id_col), *[F.coalesce(c, F.lit(0)).alias(c) for c in [*MEASURES, "n_best", "count_sum"]], F.coalesce("groups_sha256", F.lit("")).alias("groups_sha256")]
     none = [F.lit(0).cast("long").alias(c) for c in [*MEASURES, "n_best", "count_sum"]]
     blank = keys.where("digest is null").select(F.col("id").alias(id_col), *none, F.lit("").alias("groups_sha256"))
-    frequent = keys.join(F.broadcast(often), "digest").select(*columns)
-    rest = keys.join(F.broadcast(often.select("digest")), "digest", "left_anti").where("digest is not null").join(seldom, "digest").select(*columns)
-    out = blank.unionByName(frequent).unionByName(rest)
+    found = heavy_join(keys.where("digest is not null"), measures, "digest", "copies").select(*columns)
+    out = blank.unionByName(found)
     for t in (keys, measures):
         store.release(t)  # the result reads these
     store.clear()

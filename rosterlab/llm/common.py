@@ -9,6 +9,9 @@ from pyspark.sql import types as T
 from rosterlab.session import new_dir
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def read_table(spark, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
@@ -21,7 +24,12 @@ def written(df: DataFrame, label: str, **options) -> DataFrame:
 def written_at(df: DataFrame, label: str, **options) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = new_dir(spark, label)
-    df.write.options(**options).parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")  # nothing reads the shuffle files once the table is written
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -61,6 +69,17 @@ def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def heavy_join(rows: DataFrame, side: DataFrame, key: str, weight: str, parts: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with ``side``, one row a key, ``weight`` telling how many of ``rows`` it meets.
+
+    Keys that meet a thousandth of all or more would be one task each; there are at most ``parts`` of them, so they are broadcast.
+    """
+    low = (side.agg(F.sum(weight)).first()[0] or 0) / parts
+    heavy, light = F.broadcast(side.where(F.col(weight) >= low)), side.where(F.col(weight) < low)
+    rest = rows.join(F.broadcast(side.where(F.col(weight) >= low).select(key)), key, "left_anti")
+    return rows.join(heavy, key).unionByName(rest.join(light, key))
+
+
 def as_text(column) -> F.Column:
     """The column as a string, null as empty."""
     return F.coalesce(F.col(column).cast("string") if isinstance(column, str) else column.cast("string"), F.lit(""))
