@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import byte_bpe, token_bytes
 from .common import Scratch, heavy_join
-from .common_py import slices, tokenizer_file, worker_state
+from .common_py import slices, worker_state
+from .pieces import MARK, pieces
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -38,26 +39,14 @@ _SHIFT = 32
 MEASURES = ["n_a", "n_b", "n_groups", "n_links"]
 
 
-class PieceBytes:
-    """A SentencePiece model with the bytes of its pieces."""
-
-    def __init__(self, path: str):
-        import sentencepiece
-
-        self.model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file(path))
-        # the mark of white space is a space, <0xHH> is a byte
-        self.shown = [
-            bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode()
-            for i, p in enumerate(map(self.model.id_to_piece, range(self.model.get_piece_size())))
-        ]
-
-
 class Aligner:
     """The tokenizers of both sides, with sizes in bytes and decimal texts of all ids."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b = byte_bpe(a_path), PieceBytes(b_path)
-        self.shown = token_bytes(a_path), self.b.shown
+        self.a, self.b = byte_bpe(a_path), pieces(b_path)
+        # the mark of white space is a space, <0xHH> is a byte
+        b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte[i] else p.replace(MARK, " ").encode() for i, p in enumerate(self.b.text)]
+        self.shown = token_bytes(a_path), b_bytes
         self.sizes = [np.array([len(x) for x in shown], dtype=np.int64) for shown in self.shown]
         digits = [[str(i).encode() for i in range(len(shown))] for shown in self.shown]
         # A within a group, A at its end, B within a group, B at its end
@@ -67,20 +56,22 @@ class Aligner:
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of both sides for each text, or None where either does not give back a space and the text."""
         out, cache = [], self.a.cache
-        for text, b in zip(texts, self.b.model.encode(texts, num_threads=1)):
+        for text in texts:
             line = " " + text
             a = np.frombuffer(b"".join([cache[w] for w in self.a.parts(line)]), dtype="<u4").astype(np.int64)
+            b = np.frombuffer(self.b.encode(text), dtype=np.int32).astype(np.int64)
             raw = line.encode("utf-8", "surrogatepass")
-            sides = [b"".join([shown[i] for i in ids]) for shown, ids in zip(self.shown, (a.tolist(), b))]
-            out.append((a, np.array(b, dtype=np.int64)) if text and sides[0] == raw == sides[1] else None)
+            sides = [b"".join([shown[i] for i in ids.tolist()]) for shown, ids in zip(self.shown, (a, b))]
+            out.append((a, b) if text and sides[0] == raw == sides[1] else None)
         return out
 
     def align(self, a: np.ndarray, b: np.ndarray) -> tuple[int, np.ndarray, str]:
         """Number of groups, the links as ``a id << 32 | b id`` in text order, and the groups as text."""
         ends_a, ends_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
-        ends = np.union1d(ends_a, ends_b)
+        both = ends_b[np.searchsorted(ends_b, ends_a)] == ends_a  # the last ends are equal, so no place is behind all of B
+        common = ends_a[both]
+        ends = np.sort(np.concatenate([ends_a[~both], ends_b]))
         links = a[np.searchsorted(ends_a, ends)] << _SHIFT | b[np.searchsorted(ends_b, ends)]
-        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
         group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
         last_a, last_b = common[group_a] == ends_a, common[group_b] == ends_b
         codes = np.concatenate([a + last_a * (self.first_b // 2), b + last_b * len(self.shown[1]) + self.first_b])
