@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,34 +124,43 @@ def components(edges: DataFrame, limit: int = 100) -> DataFrame:
     )
 
 
-def grouped_by_links(met: DataFrame, verified, similarity: float, store: Scratch) -> DataFrame:
-    """Components, as of ``components``, of the links among all pairs that share a block.
+def meetings(rows: DataFrame, similarity: float, store: Scratch, near: int = 15, full: int = 1000, apart=None) -> DataFrame:
+    """Distinct pairs ``(a, b)`` of keys that share a block, near each other in it; far fewer than all pairs of large blocks.
 
-    ``met`` is a written table ``(block, key, size, class)``, a class the whole part of the logarithm of the size to the base
-    ``1 / similarity``; ``verified`` keeps the pairs ``(a, b)`` of keys that are links. Links need sizes within ``similarity``.
+    ``rows`` is a written table ``(key, size, bits, blocks)``. In a block, ordered by size and ``bits`` (a sketch of the row, or null), each
+    row meets the ``near`` rows before it, which is all of them in small blocks. A block of more than ``full`` rows is cut by bits of
+    the sketch or key, others for each block, so that no block is one task. In blocks with more rows than a row has neighbours,
+    every row also meets the one whose blocks hold most rows, the centre of a group whose members are less like each other. Pairs with
+    sizes not within ``similarity``, or for which ``apart`` (of two structs of size and bits) holds, are left out.
     """
-    alike = lambda a, b: F.least(a, b) >= F.greatest(a, b) * similarity - 1e-9
-    leaders = met.groupBy("block", "class").agg(F.min("key").alias("leader"), F.min_by("size", "key").alias("leader_size"))
-    leaders = leaders.select("block", F.explode(F.array("class", F.col("class") + 1)).alias("class"), "leader", "leader_size")
-    pairs = met.join(leaders, ["block", "class"]).where("key <> leader").where(alike("size", "leader_size"))
-    pairs = store(pairs.select(F.greatest("key", "leader").alias("a"), F.least("key", "leader").alias("b")).distinct(), "pairs")
-    links = store(verified(pairs), "links-found")
-    roots = components(links)
-    own = met.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = own.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", "key").alias("first")).where("low <> high").select("block", "first")
-    own = store(own.join(mixed, "block").select("block", "key", "size", "root", "first"), "members")
-    rest = own.where("root <> first").select("block", F.col("key").alias("a"), F.col("size").alias("sa"), F.col("root").alias("ra"))
-    if rest.limit(1).count():
-        # two members outside the first component meet once, from the smaller root
-        other = own.select("block", F.col("key").alias("b"), F.col("size").alias("sb"), F.col("root").alias("rb"), "first")
-        once = (F.col("rb") == F.col("first")) | (F.col("ra") < F.col("rb"))
-        more = rest.join(other, "block").where((F.col("ra") != F.col("rb")) & once & alike("sa", "sb"))
-        more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        more = store(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if more.limit(1).count():
-            links = links.union(verified(more))
-            roots = components(links)
-    return roots
+    counts = store(rows.select(F.explode("blocks").alias("block")).groupBy("block").count().where("count > 1"), "block-counts")
+    met = rows.select("key", F.explode("blocks").alias("block")).join(counts, "block").join(rows.select("key", "size", "bits"), "key")
+    depth = F.when(F.col("count") > full, F.ceil(F.log2(F.col("count") / full)).cast("int")).otherwise(0)
+    cut = F.when(depth > 0, _bits_of(F.coalesce("bits", "key"), F.col("block"), depth)).otherwise(F.lit(0).cast("long"))
+    met = store(met.select("block", "count", cut.alias("cut"), "key", "size", "bits"), "meetings")
+    row = F.struct("key", "size", "bits")
+    order = Window.partitionBy("block", "cut").orderBy("size", "bits", "key")
+    before = F.array(*[F.lag(row, k).over(order) for k in range(1, near + 1)])
+    pairs = met.select(row.alias("x"), before.alias("near")).select("x", F.explode("near").alias("y"))
+    large = met.where(F.col("count") > near + 1)
+    if large.limit(1).count():
+        weights = large.groupBy("key").agg(F.sum("count").alias("weight"))
+        centres = large.join(weights, "key").groupBy("block").agg(F.max_by(row, F.struct("weight", "key")).alias("y"), F.count("*").alias("n"))
+        pairs = pairs.unionByName(heavy_join(large, store(centres, "centres"), "block", "n").select(row.alias("x"), "y"))
+    alike = F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * similarity - 1e-9
+    if apart is not None:
+        alike = alike & ~F.coalesce(apart(F.col("x"), F.col("y")), F.lit(False))
+    pairs = pairs.where(alike & (F.col("x.key") != F.col("y.key")))
+    return store(pairs.select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b")).distinct(), "pairs")
+
+
+def _bits_of(value, block, depth):
+    """``depth`` bits of ``value``, other ones for each block."""
+    out = F.lit(0).cast("long")
+    for k in range(30):
+        at = F.pmod(F.xxhash64(block, F.lit(k)), F.lit(64)).cast("int")
+        out = out.bitwiseOR(F.when(depth > k, F.shiftleft(F.call_function("getbit", value, at).cast("long"), k)).otherwise(F.lit(0).cast("long")))
+    return out
 
 
 def _state(links: DataFrame) -> tuple:

@@ -231,11 +231,16 @@ def test_changed_words_are_found(spark):
 
 def test_simhash_is_the_bit_majority(spark):
     rng = random.Random(7)
-    sets = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 3, 10, 31, 60)]
-    got = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "i int, h array<long>").select("i", lines.simhash(F.col("h")).alias("s")).collect()
-    for r in got:
+    sets = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 3, 6, 7)]
+    plain = lambda hs, bits: sum(1 << b for b in bits if sum(h >> b & 1 for h in hs) * 2 > len(hs))
+    rows = spark.createDataFrame([(i, s, *(s + [None, None])[:3]) for i, s in enumerate(sets)], "i int, h array<long>, a long, b long, c long")
+    for r in rows.select("i", lines.simhash(F.col("h")).alias("s"), lines.majority(F.col("a"), F.col("b"), F.col("c")).alias("m")).collect():
         hs = sets[r["i"]]
-        assert r["s"] & (1 << 64) - 1 == sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hs) * 2 > len(hs))
+        want = plain(hs, range(64))
+        # counters of bits 0, 4, ... are in the top bits of their lanes, those of the next two passes below
+        got = sum((r["s"] >> (4 * lane + 3 - k) & 1) << (4 * lane + k) for lane in range(14) for k in range(3))
+        assert got == want & sum(0b111 << 4 * lane for lane in range(14))
+        assert r["m"] & (1 << 64) - 1 == plain(hs[:3], range(64))
 
 
 def test_unrelated_lines_with_one_phrase_cost_few_pairs(spark):
@@ -244,7 +249,7 @@ def test_unrelated_lines_with_one_phrase_cost_few_pairs(spark):
     rows = [(i, " ".join(word() for _ in range(15)) + " subject to the terms and conditions of the notice " + " ".join(word() for _ in range(15))) for i in range(2000)]
     store = Scratch()
     table = store(lines._lines(lines._rows(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")), "lines")
-    assert lines._meetings(table, 0.8, store).count() < 50_000
+    assert lines._pairs(table, 0.8, store).count() < 50_000
     store.clear()
 
 
