@@ -48,6 +48,11 @@ class Scratch:
         """Take a table that is still read out of those that go."""
         self.tables = [t for t in self.tables if t[0] is not table]
 
+    def hand_over(self, table: DataFrame, other: Scratch) -> None:
+        """Let ``table`` go with those of ``other`` instead."""
+        other.tables += [t for t in self.tables if t[0] is table]
+        self.release(table)
+
     def clear(self) -> None:
         for table, path in self.tables:
             forget(table.sparkSession, path)

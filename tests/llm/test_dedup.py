@@ -248,7 +248,7 @@ def test_unrelated_lines_with_one_phrase_cost_few_pairs(spark):
     word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
     rows = [(i, " ".join(word() for _ in range(15)) + " subject to the terms and conditions of the notice " + " ".join(word() for _ in range(15))) for i in range(2000)]
     store = Scratch()
-    table = store(lines._lines(lines._rows(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")), "lines")
+    table = lines._lines(lines._rows(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text"))
     assert lines._pairs(table, 0.8, store).count() < 50_000
     store.clear()
 
