@@ -1,98 +1,124 @@
-"""Quantile models on Spark ML.
-
-Spark ML has no tree with a quantile loss. The median is a gradient-boosted tree
-with absolute loss; the low and high quantiles add the residual quantiles of
-ten prediction buckets, measured on rows the tree has not seen. The estimator
-differs from a per-quantile booster; the output contract is the same.
-"""
+"""Quantile models: three boosted quantiles fitted on Spark, stored as a table of nodes, with additive attributions."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import new_dir
+from .boosting import NODES, Forest, Settings, fit_task
 from .evaluate import monotone
 from .frames import features
 
-LOW, HIGH = 0.15, 0.85
+LOW, MEDIAN, HIGH = 0.15, 0.5, 0.85
+NAMES = ["q15", "q50", "q85"]
+#: Most rows of a fit: a hash of their content takes them, so a rerun takes the same. Larger tables are sampled.
+FIT_ROWS = 200_000
+#: Bins of a feature in the histograms.
+BINS = 256
 
 
 @dataclass
 class QuantileModel:
-    tree: PipelineModel
     columns: list[str]
-    edges: list[float]
-    low: list[float]
-    high: list[float]
+    depth: int
+    path: str
+    forests: list[Forest] = field(default_factory=list)
 
     def predict(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """Aligned features to q15, q50, q85 in order."""
         extra = [c for c in keep if c not in self.columns]
         rows = features(df, self.columns, keep=extra)
-        out = self.tree.transform(rows).withColumnRenamed("prediction", "q50")
-        bucket = _bucket(F.col("q50"), self.edges)
-        shift = lambda values: F.get(F.array(*[F.lit(float(v)) for v in values]), bucket)
-        out = out.withColumns({"q15": F.col("q50") + shift(self.low), "q85": F.col("q50") + shift(self.high)})
-        return monotone(out).select(*keep, "q15", "q50", "q85")
+        shared, names, n = df.sparkSession.sparkContext.broadcast(self.forests), self.columns, len(NAMES)
+
+        def run(batches):
+            for b in batches:
+                x = np.column_stack([b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names])
+                found = [pa.array(f.predict(x)) for f in shared.value]
+                yield pa.RecordBatch.from_arrays([*b.columns, *found], names=[*b.schema.names, *NAMES[:n]])
+
+        out = rows.mapInArrow(run, T.StructType([*rows.schema.fields, *[T.StructField(c, T.DoubleType()) for c in NAMES]]))
+        return monotone(out).select(*keep, *NAMES)
 
-    def importance(self, spark: SparkSession) -> DataFrame:
-        """(feature, importance), one row per model input."""
-        values = self.tree.stages[-1].featureImportances.toArray().tolist()
-        return spark.createDataFrame(list(zip(self.columns, map(float, values))), "feature string, importance double")
+    def attribute(self, df: DataFrame, keep: Sequence[str] = (), quantile: str = "q50") -> DataFrame:
+        """One row a row of ``df``: ``keep``, ``base``, ``prediction`` of the quantile before triples are put in order, and ``shares``,
+        an array in the order of the columns that sums up to ``prediction - base``."""
+        extra = [c for c in keep if c not in self.columns]
+        rows = features(df, self.columns, keep=extra)
+        shared, names = df.sparkSession.sparkContext.broadcast(self.forests[NAMES.index(quantile)]), self.columns
+
+        def run(batches):
+            f = shared.value
+            for b in batches:
+                x = np.column_stack([b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names])
+                shares = f.attribute(x)
+                flat = pa.FixedSizeListArray.from_arrays(pa.array(shares.ravel()), len(names)).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns, pa.array(np.full(len(x), f.mean())), pa.array(f.predict(x)), flat], names=[*b.schema.names, "base", "prediction", "shares"]
+                )
+
+        more = [T.StructField("base", T.DoubleType()), T.StructField("prediction", T.DoubleType()), T.StructField("shares", T.ArrayType(T.DoubleType()))]
+        return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *more])).select(*keep, "base", "prediction", "shares")
+
+    def importance(self, df: DataFrame, quantile: str = "q50") -> DataFrame:
+        """(feature, importance): mean absolute attribution over the rows of ``df``, one row per model input."""
+        shares = self.attribute(df, quantile=quantile)
+        means = shares.agg(*[F.avg(F.abs(F.get("shares", F.lit(i)))).alias(f"m{i}") for i in range(len(self.columns))])
+        pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(f"m{i}", F.lit(0.0)).alias("importance")) for i, c in enumerate(self.columns)])
+        return means.select(F.inline(pairs))
 
     def save(self, path: str) -> None:
-        self.tree.write().overwrite().save(f"{path}/tree")
-        meta = json.dumps({"columns": self.columns, "edges": self.edges, "low": self.low, "high": self.high})
         spark = SparkSession.active()
+        spark.read.schema(NODES).parquet(f"{self.path}/nodes").write.mode("overwrite").parquet(f"{path}/nodes")
+        meta = json.dumps({"columns": self.columns, "depth": self.depth})
         spark.createDataFrame([(meta,)], "value string").write.mode("overwrite").text(f"{path}/meta")
 
     @staticmethod
     def load(path: str) -> QuantileModel:
         meta = json.loads(SparkSession.active().read.text(f"{path}/meta").first()["value"])
-        return QuantileModel(PipelineModel.load(f"{path}/tree"), meta["columns"], meta["edges"], meta["low"], meta["high"])
+        return _opened(path, meta["columns"], meta["depth"])
 
 
-def _bucket(x: Column, edges: Sequence[float]) -> Column:
-    out = F.lit(0)
-    for e in edges:
-        out = out + F.when(x > e, 1).otherwise(0)
-    return out
+def _opened(path: str, columns: list[str], depth: int) -> QuantileModel:
+    rows = SparkSession.active().read.schema(NODES).parquet(f"{path}/nodes").collect()  # trees x 2^depth rows, whatever the data
+    forests = [Forest([tuple(r)[1:] for r in rows if r["model"] == m], depth, len(columns)) for m in range(len(NAMES))]
+    return QuantileModel(columns, depth, path, forests)
 
 
 def train_quantiles(
     train: DataFrame, columns: Sequence[str], label: str, trees: int = 500, depth: int = 6, step: float = 0.05,
-    calibration_share: float = 0.2, buckets: int = 10, seed: int = 42,
+    fit_rows: int = FIT_ROWS, bins: int = BINS, seed: int = 42, path: str | None = None,
 ) -> QuantileModel:
-    """Fit on ``train``; missing features and labels count as 0.
+    """Fit on ``train`` and store the model below ``path``; missing features and labels count as 0.
 
-    Rows are assigned to the calibration slice by a hash of their content, so a rerun after a
-    lost executor splits the same way. The bucket edges and residuals are mergeable sketches.
+    At most about ``fit_rows`` rows are fitted, taken by a hash of their content. Features have up to ``bins`` bins by
+    exact quantiles of these rows. Each quantile is one task over the fitted rows, so memory follows ``fit_rows``, not the table.
     """
-    columns = list(columns)
+    spark, columns = train.sparkSession, list(columns)
     rows = train.withColumn("_label", F.coalesce(F.col(label).cast("double"), F.lit(0.0)))
     rows = features(rows, columns, keep=["_label"])
-    slot = F.pmod(F.xxhash64("_label", *columns, F.lit(seed)), F.lit(1000))
-    held = slot < int(calibration_share * 1000)
-    tree = GBTRegressor(
-        featuresCol="_features", labelCol="_label", lossType="absolute", maxIter=trees, maxDepth=depth, stepSize=step,
-        seed=seed, subsamplingRate=0.8,
-    )
-    fitted = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_features", handleInvalid="keep"), tree]).fit(rows.filter(~held))
-    scored = fitted.transform(rows.filter(held)).select("prediction", (F.col("_label") - F.col("prediction")).alias("_r"))
-    cuts = [i / buckets for i in range(1, buckets)]
-    found = scored.agg(F.percentile_approx("prediction", cuts, 10_000).alias("e")).first()["e"] or []
-    edges = sorted(set(map(float, found)))
-    spread = scored.groupBy(_bucket(F.col("prediction"), edges).alias("b")).agg(F.percentile_approx("_r", [LOW, HIGH], 10_000).alias("q"))
-    shifts = {r["b"]: r["q"] for r in spread.collect()}  # one row per bucket
-    at = lambda i: [float(shifts[b][i]) if b in shifts else 0.0 for b in range(len(edges) + 1)]
-    return QuantileModel(fitted, columns, edges, at(0), at(1))
+    rows = rows.select(F.xxhash64("_label", *columns, F.lit(seed)).alias("_hash"), "_label", *columns)
+    total = rows.count()
+    if total > fit_rows:
+        rows = rows.filter(F.pmod("_hash", F.lit(1 << 30)) < int(fit_rows / total * (1 << 30)))
+    held = new_dir(spark, "fit-rows")
+    rows.write.parquet(held)
+    rows = spark.read.schema(rows.schema).parquet(held)
+    shares = [i / bins for i in range(1, bins)]
+    found = rows.agg(*[F.percentile(c, shares).alias(c) for c in columns]).first() if columns else {}
+    cuts = [np.unique(np.array(found[c] or [], dtype=np.float64)) for c in columns]
+    settings = Settings((LOW, MEDIAN, HIGH), trees, depth, step, seed=seed)
+    path = path or new_dir(spark, "quantile-model")
+    each = rows.select(F.explode(F.array(*map(F.lit, range(len(NAMES))))).alias("model"), *rows.columns).repartitionByRange(len(NAMES), "model")
+    each.mapInArrow(lambda batches: fit_task(batches, cuts, settings), NODES).write.mode("overwrite").parquet(f"{path}/nodes")
+    return _opened(path, columns, depth)
 
 
 def top_features(importance: DataFrame, n: int = 10) -> DataFrame:

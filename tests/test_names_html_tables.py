@@ -169,7 +169,7 @@ def test_quantile_model_round_trip(spark, tmp_path):
     m.save(str(tmp_path / "m"))
     again = M.QuantileModel.load(str(tmp_path / "m")).predict(df, keep=["y"])
     assert rows(again) == rows(p)
-    assert M.top_features(m.importance(spark), 1).first()["feature"] == "a"
+    assert M.top_features(m.importance(df), 1).first()["feature"] == "a"
 
 
 def test_streaming_reads_new_files_once(spark, tmp_path):
