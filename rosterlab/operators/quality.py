@@ -39,24 +39,34 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, key: str = "id") -
     return child.filter(F.col(column).isNotNull()).join(keys, F.col(column) == F.col("_parent_key"), "left_anti")
 
 
-def check_table(name: str, df: DataFrame, parents: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """All constraints of one relational table as (table_name, constraint_type, rule, violations)."""
-    out = domain_violations(df, S.CHECKS.get(name, [])).groupBy("rule").agg(F.count(F.lit(1)).alias("violations")) if S.CHECKS.get(name) else None
-    kinds = [] if out is None else [out.select(F.lit("check").alias("constraint_type"), "rule", "violations")]
-    if S.REQUIRED.get(name):
-        kinds.append(
-            null_counts(df, S.REQUIRED[name]).filter(F.col("nulls") > 0)
-            .select(F.lit("not_null").alias("constraint_type"), F.col("column_name").alias("rule"), F.col("nulls").alias("violations"))
-        )
-    total = lambda rows, kind, rule: rows.agg(F.count(F.lit(1)).alias("violations")).filter(F.col("violations") > 0).select(
-        F.lit(kind).alias("constraint_type"), F.lit(rule).alias("rule"), "violations"
-    )
-    for keys in S.UNIQUE.get(name, []):
-        kinds.append(total(duplicate_keys(df, keys), "unique", ",".join(keys)))
-    for column, parent in S.REFERENCES.get(name, {}).items():
-        if parents and parent in parents:
-            kinds.append(total(orphans(df, column, parents[parent]), "reference", column))
-    result = kinds[0]
+def broken_constraints(
+    df: DataFrame, checks: Sequence[tuple[str, str]] = (), required: Sequence[str] = (), unique: Sequence[Sequence[str]] = (),
+    references: Mapping[str, DataFrame] | None = None, key: str = "id",
+) -> DataFrame:
+    """(constraint_type, rule, violations) of every constraint that some row breaks.
+
+    All checks and not-null rules are counted in one aggregation over the table. A unique key is one aggregation by that key, a
+    reference one anti-join with the parents' ``key``, for which Spark may filter the child by a Bloom filter of the parents.
+    """
+    counts = [(("check", name), F.count_if(~F.expr(cond))) for name, cond in checks]
+    counts += [(("not_null", c), F.count_if(F.col(c).isNull())) for c in required]
+    total = lambda rows, kind, rule: rows.agg(F.count("*").alias("violations")).select(F.lit(kind).alias("constraint_type"), F.lit(rule).alias("rule"), "violations")
+    kinds = [total(duplicate_keys(df, keys), "unique", ",".join(keys)) for keys in unique]
+    kinds += [total(orphans(df.select(column), column, parent, key), "reference", column) for column, parent in (references or {}).items()]
+    if counts:
+        once = df.agg(*[c.alias(f"c{i}") for i, (_, c) in enumerate(counts)])
+        rows = [F.struct(F.lit(kind).alias("constraint_type"), F.lit(rule).alias("rule"), F.col(f"c{i}").alias("violations")) for i, ((kind, rule), _) in enumerate(counts)]
+        kinds.insert(0, once.select(F.inline(F.array(*rows))))
+    if not kinds:
+        return df.sparkSession.createDataFrame([], "constraint_type string, rule string, violations long")
+    out = kinds[0]
     for k in kinds[1:]:
-        result = result.unionByName(k)
-    return result.select(F.lit(name).alias("table_name"), "constraint_type", "rule", "violations")
+        out = out.unionByName(k)
+    return out.filter(F.col("violations") > 0)
+
+
+def check_table(name: str, df: DataFrame, parents: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """All constraints of one relational table as (table_name, constraint_type, rule, violations); references to the parents given."""
+    known = {c: parents[p] for c, p in S.REFERENCES.get(name, {}).items() if parents and p in parents}
+    out = broken_constraints(df, S.CHECKS.get(name, ()), S.REQUIRED.get(name, ()), S.UNIQUE.get(name, ()), known)
+    return out.select(F.lit(name).alias("table_name"), "constraint_type", "rule", "violations")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions.columns import code
 from ..operators import lineup as L
+from ..operators import quality as Q
 from ..operators.ordered import top_rows
 from . import bindings as b
 from .registry import query
@@ -158,6 +159,24 @@ def _(t):
     return L.locked_missing(b.lineup_rows(t), constraints(t)).groupBy("lineup_id", "player_name").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("D73_lineup_member_constraints", """
+SELECT 'check' AS constraint_type, 'roster_position' AS rule, count(*) AS violations FROM lineup_rows HAVING count(*) > 0
+UNION ALL SELECT 'reference', 'player_id', count(*) FROM lineup_rows WHERE player_id NOT IN (SELECT p_partkey FROM part WHERE p_size > 5) HAVING count(*) > 0
+UNION ALL SELECT 'reference', 'lineup_id', count(*) FROM lineup_rows WHERE lineup_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') HAVING count(*) > 0""", views=LU)
+def _(t):
+    """All rules of the table of lineup members; none of the slots A, N and R of the line items is a roster position."""
+    rows = b.lineup_rows(t).select("lineup_id", "player_id", code("slot").alias("roster_position"))
+    parents = {"lineups": t["orders"].filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id")), "players": t["part"].filter("p_size > 5").select(F.col("p_partkey").alias("id"))}
+    return Q.check_table("lineup_players", rows, parents).drop("table_name")
+
+
+@query("J22_thirty_locks", "SELECT lineup_id, count(*) AS missing FROM roll r, (SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 30) k WHERE NOT EXISTS (SELECT 1 FROM lineup_rows x WHERE x.lineup_id = r.lineup_id AND x.player_id = k.p_partkey) GROUP BY 1", views=f"{LU}, {ROLL}")
+def _(t):
+    p = t["part"].select(F.col("p_partkey").alias("player_id"), "p_retailprice", F.col("p_name").alias("name"))
+    locks = p.orderBy(F.col("p_retailprice").desc(), "player_id").limit(30).select("player_id", F.lit(False).alias("is_banned"), F.lit(True).alias("is_locked"), "name")
+    return L.locked_missing(b.lineup_rows(t), locks).groupBy("lineup_id").agg(F.count("*").alias("missing"))
+
+
 @query("U10_unknown_slots", "SELECT lineup_id, list_sort(list_filter(list(DISTINCT slot), lambda s: s NOT IN ('A', 'N'))) AS unknown FROM lineup_rows GROUP BY 1 HAVING len(list_filter(list(DISTINCT slot), lambda s: s NOT IN ('A', 'N'))) > 0", views=LU)
 def _(t):
     rows = b.lineup_rows(t).select("lineup_id", code("slot").alias("slot")).distinct()
