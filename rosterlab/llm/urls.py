@@ -35,13 +35,14 @@ def _digest(host, path):
     return F.sha2(F.concat(host, F.lit("\n"), path), 256)
 
 
-def expressions(urls: DataFrame) -> DataFrame:
-    """Rows ``(host, path, key, digest)``: every expression of each distinct ``(host, path)``."""
-    labels = F.split("host", r"\.", -1)
+def expressions(urls: DataFrame, labels: int, depth: int) -> DataFrame:
+    """Rows ``(host, path, key, digest)``: the expressions of each distinct ``(host, path)``, with at most so many host labels and
+    path parts, since longer ones match no rule: very long paths and hosts cost no more than their length."""
+    names = F.split("host", r"\.", -1)
     suffixes = F.when(F.col("host") == "", F.array(F.lit(""))).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+        F.transform(F.sequence(F.greatest(F.lit(1), F.size(names) - (labels - 1)), F.size(names)), lambda i: F.array_join(F.slice(names, i, F.size(names)), "."))
     )
-    parts = F.split("path", "/", -1)
+    parts = F.split("path", "/", depth + 1)  # what follows the last part that counts stays whole
     prefixes = F.transform(
         F.sequence(F.lit(0), F.size(parts) - 1),
         lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))),
@@ -71,7 +72,8 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     rank = F.struct(
         F.length(F.concat("r_host", "r_path")).alias("long"), F.length("r_host").alias("longer_host"), (F.col("r_verdict") == "block").alias("block"), F.col("r_path").alias("p")
     )
-    hits = expressions(placed.select("host", "path").distinct()).join(rule, "key")
+    longest = rule.agg(F.max(F.size(F.split("r_host", r"\.", -1))), F.max(F.size(F.split("r_path", "/", -1)))).first()
+    hits = expressions(placed.select("host", "path").distinct(), longest[0] or 1, max(0, (longest[1] or 1) - 1)).join(rule, "key")
     hits = hits.where((F.col("digest") == F.col("r_digest")) & F.startswith(F.col("path"), F.col("r_path")))
     best = hits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), rank).alias("hit"))
     out = placed.join(best, ["host", "path"], "left")
