@@ -6,13 +6,16 @@ page of the group. Tokens with equal vectors form a class; a class is valid if i
 and large enough to be no accident. The class found once on every page is the root of the template; the other valid
 classes nest in the gaps between two of its tokens. What is left of a page, outside all template tokens, are its slots.
 
-The text of a page is what its slots hold inside the article, or failing that the main element, or failing that the
-top-level gap of the template with most text over the group. Slots inside menus, headers, footers, sidebars,
-notices, adverts, forms and comments are left out, told by the elements the template puts around them (names, roles,
-class and id words). Text inside an article or main element stays, however many pages share it. On pages without either, a
-block of text that the template itself holds, the same on every one of at least ``SHARED`` pages, is no slot and goes,
-unless such blocks are a large part of the page: pages of one text are copies, not a template. Small groups have tags as
-their only template.
+The text of a page is what lies inside the article, or failing that the main element. On pages without either the template
+tells: of its elements, which stand once on every page, the main one is found from the outside inwards, going on into an element as long as
+it holds most of the text in slots, that is text which is not the same on all pages. All text inside it stays, also what
+all pages share; elements beside it (menus, notices, footers of any name) go. So which text stays depends on where it stands, never on
+how many pages share it, and a group needs two different pages to tell, no more. Of a page that stands alone, or whose group holds
+copies only, everything is kept.
+
+Slots inside menus, headers, footers, sidebars, notices, adverts, forms and comments are left out, told by the names and roles of
+elements and by class and id words. The words count only for elements that hold no article or main element and are none, and only if
+they leave some text of the page.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by a line end. Null
 html counts as empty. Rows are kept as they are, repeated ones too; extra columns are ignored.
@@ -36,7 +39,10 @@ from .urls import host_and_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-GROUP, SHARED = 48, 8
+#: Pages of a group; a group of any size from two different pages on tells the template.
+GROUP = 48
+#: Share of the slot text of an element that one inside it must hold to be the main one.
+MOST = 0.6
 #: Most hosts with a count of their own that are broadcast.
 HOSTS = 500_000
 
@@ -73,7 +79,7 @@ _ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 
 
 class Element:
-    __slots__ = ("name", "path", "aside", "parent", "inside")
+    __slots__ = ("name", "path", "aside", "strict", "parent", "inside")
 
     def __init__(self, name: str, attributes: str, parent):
         self.name, self.parent = name, parent
@@ -82,10 +88,16 @@ class Element:
         label = known.get("class", "").lower()
         self.path = f"{parent.path if parent else ''}/{name}{'.' + label if label else ''}"
         self.inside = name if name in ("article", "main") else (parent.inside if parent else None)
-        own = name in ASIDE or known.get("role", "").lower() in ASIDE_ROLES or not ASIDE_WORDS.isdisjoint(words) or "hidden" in known
-        if own and name in ("article", "main", "body", "html") and ASIDE_WORDS.isdisjoint(words):
-            own = False
-        self.aside = own or bool(parent and parent.aside)
+        content = name in ("article", "main", "body", "html")
+        self.strict = not content and (name in ASIDE or known.get("role", "").lower() in ASIDE_ROLES or "hidden" in known)
+        own = self.strict or (not content and not ASIDE_WORDS.isdisjoint(words))
+        # an article or main element begins anew, whatever the words of elements around it
+        self.aside = own or bool(parent and parent.aside and (name not in ("article", "main") or parent.forced))
+
+    @property
+    def forced(self) -> bool:
+        """Whether this element or one around it is an aside by name or role."""
+        return self.strict or bool(self.parent and self.parent.forced)
 
 
 def tokens(page: str) -> list[tuple]:
@@ -208,41 +220,61 @@ def _ordered(keys: list[str], pages: list[list[tuple]], exact: bool = False) ->
         runs = [[k for k in r if k not in bad] for r in runs]
 
 
+def main_element(parsed: list[list[tuple]], root: list[str], nested: dict) -> str | None:
+    """Path of the template element that is the main one of a group, or None if the template tells nothing."""
+    fixed = {k for k in root if "#" in k} | {k for ks in nested.values() for keys in ks for k in keys if "#" in k}
+    known = {k for k in root if "#" not in k and not k.endswith("/>")}
+    mass: Counter = Counter()
+    for page in parsed:
+        for kind, key, text, e in page:
+            if kind == "text" and key not in fixed and not _left_out(e):
+                while e:
+                    if e.path in known:
+                        mass[e.path] += len(text)
+                    e = e.parent
+    best = None
+    for path in sorted(mass, key=lambda p: (p.count("/"), -mass[p])):  # outer elements first
+        if best is None:
+            best = path if mass[path] == max(mass.values()) else None
+        elif path.startswith(best + "/") and mass[path] >= MOST * mass[best]:
+            best = path
+    return best
+
+
 def extract_group(pages: list[str]) -> list[str]:
     """Main texts of the pages of one group."""
     parsed = [tokens(p) for p in pages]
     distinct = list({tuple(t[1] for t in p): p for p in parsed if p}.values())
-    root, nested = template(distinct) if distinct else ([], {})
-    fixed = set(root).union(*(k for ks in nested.values() for k in ks)) if len(distinct) >= SHARED else {k for k in root if "#" not in k}
-    place = {k: i for i, k in enumerate(root) if "#" not in k}
-    mass: Counter = Counter()
-    for page in parsed:  # text by gap of the root class, for pages without an article or main element
-        gap = -1
-        for kind, key, text, e in page:
-            gap = place.get(key, gap)
-            if kind == "text" and not (e and e.aside):
-                mass[gap] += len(text)
-    widest = mass.most_common(1)[0][0] if mass else -1
+    bare = any(all(kind != "text" or not (e and e.inside) for kind, _, _, e in page) for page in distinct)
+    main = main_element(distinct, *template(distinct)) if bare and len(distinct) > 1 else None
     out = []
     for page in parsed:
-        slots, gap = [], -1
-        for kind, key, text, e in page:
-            gap = place.get(key, gap)
-            if kind == "text" and not _left_out(e):
-                slots.append((e.inside if e else None, gap, key in fixed, text))
-        for wanted in ("article", "main", None):
-            chosen = [s for s in slots if wanted is None or s[0] == wanted]
+        texts = [(text, e) for kind, _, text, e in page if kind == "text"]
+        chosen = []
+        for left_out in (_left_out, _no_text):  # class words that leave nothing are no sign of an aside
+            slots = [(text, e) for text, e in texts if not left_out(e)]
+            for inside in ("article", "main"):
+                chosen = chosen or [text for text, e in slots if e and e.inside == inside]
+            chosen = chosen or [text for text, e in slots if main and _within(e, main)] or [text for text, e in slots]
             if chosen:
                 break
-        if wanted is None and any(s[1] == widest for s in chosen):
-            chosen = [s for s in chosen if s[1] == widest or len(distinct) < SHARED]
-        free = [s for s in chosen if not s[2]]
-        if wanted is None and sum(len(s[3]) for s in free) >= 0.5 * sum(len(s[3]) for s in chosen):
-            chosen = free
-        out.append("\n".join(s[3] for s in chosen))
+        out.append("\n".join(chosen))
     return out
 
 
+def _within(e, path: str) -> bool:
+    while e:
+        if e.path == path:
+            return True
+        e = e.parent
+    return False
+
+
+def _no_text(e) -> bool:
+    """Whether the element is no article text by names and roles alone."""
+    return bool(e and e.forced)
+
+
 def _left_out(e) -> bool:
     """Whether the element lies in a part that is no article text; a heading in the header of an article is."""
     if not (e and e.aside):

@@ -66,12 +66,35 @@ PAGE = (
 def test_pages():
     assert html_text.extract_group([PAGE % ("A", "<p>end")]) == ["A & more\nOne two three\nFour five\nend"]
     assert html_text.extract_group([]) == [] and html_text.extract_group(["", "plain", "a < b <p>c"]) == ["", "plain", "a < b\nc"]
-    # a block that the template holds on every page goes, but not from pages that are copies of each other
-    many = [PAGE % (f"Title {i}", f"<p>Text of its own, number {i}, longer than what is shared." + " More." * 20 + "<p>Read on") for i in range(10)]
-    assert all(t.endswith("More.") and f"Title {i}" in t for i, t in enumerate(html_text.extract_group(many)))
+    # text inside an article stays, however many pages share it
+    many = [PAGE % (f"Title {i}", f"<p>Text of its own, number {i}." + " More." * 20 + "<p>Read on") for i in range(10)]
+    assert all(t.endswith("More.\nRead on") and t.startswith(f"Title {i} &".replace(" &", " & more")) for i, t in enumerate(html_text.extract_group(many)))
     assert html_text.extract_group([many[0]] * 10) == [html_text.extract_group([many[0]])[0]] * 10
 
 
+BARE = (
+    "<html><body><div class=top><p>Site of all things<p>%s</div><div class=x1><p>Please read our terms before you go on, they are long and dull.</div>"
+    "<div class=x2><h1>Title %s</h1><p>Please note: prices exclude tax.<p>%s</div><div class=x3><p>Imprint and so on</div></body></html>"
+)
+
+
+@pytest.mark.parametrize("n", [2, 7, 8, 48])
+def test_pages_told_by_the_template_only(n, monkeypatch):
+    pages = [BARE % (f"day {i}", i, f"Text number {i} of this page. " * 5) for i in range(n)]
+    want = [f"Title {i}\nPlease note: prices exclude tax.\n" + " ".join([f"Text number {i} of this page."] * 5) for i in range(n)]
+    assert html_text.extract_group(pages) == want
+    monkeypatch.setattr(html_text, "template", lambda pages: ([], {}))  # without the template nothing tells the parts
+    assert all("Imprint" in t for t in html_text.extract_group(pages))
+
+
+def test_class_words_never_empty_a_page():
+    assert html_text.extract_group(["<body><article class='widget-review'><h1>A</h1><p>b</article><footer>f</footer>"]) == ["A\nb"]
+    assert html_text.extract_group(["<body><div class='post-comment-free search-result'><p>All of it</div><nav>m</nav>"]) == ["All of it"]
+    assert html_text.extract_group(["<div class='search'><article><p>x<div class=ad>no</div></article></div>"]) == ["x"]
+    assert html_text.extract_group(["<body><nav><p>m</nav><footer>f</footer>"]) == [""]
+    assert html_text.extract_group(["<p>" + "word " * 200_000])[0].count("word") == 200_000
+
+
 def test_page_rows(spark):
     rows = [(i, f"http://h{i % 2}.org/{i}", PAGE % (i, ""), "x") for i in range(30)] + [(None, None, None, "x"), (3, "http://h1.org/3", "", "x"), (3, "http://h1.org/3", "", "x")]
     out = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string"), group=8).collect()
