@@ -36,7 +36,9 @@ CLASSES = 32
 MARGIN = 0.2
 #: Texts of fewer letters hold too little to be called foreign; they are never rejected.
 LEAST = 128
-_TABLE, _STEP = 0x30000, 1 << 19
+_TABLE, _STEP = 0x110000, 1 << 19
+#: Most languages that are learned; centroids of more would not be a bounded broadcast.
+LANGUAGES = 1000
 
 
 def _letters() -> np.ndarray:
@@ -141,14 +143,19 @@ def _fit_language(idf: np.ndarray, k: int):
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE, k: int = CENTROIDS) -> dict:
     """The model: learned languages, centroids, inverse document frequencies and radii by length.
 
-    Fitting uses at most ``sample`` rows of each language, chosen by a hash of the id, whatever the size of the input;
-    the languages are expected to be few, since ``k`` centroids of each are held by the driver and sent to the tasks.
+    Fitting uses at most ``sample`` rows of each language, chosen by a hash of the id, then of the text, whatever the size of the
+    input and however often an id is repeated; repeated rows count once. ``k`` centroids of each language are held by the driver and sent
+    to the tasks, so more than ``LANGUAGES`` languages raise an error.
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("lang", "id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).select("lang", "id").distinct()
-    texts = rows.join(F.broadcast(chosen), ["lang", "id"], "left_semi").select("lang", "text")  # at most ``sample`` ids a language
+    rows = rows.withColumn("rid", F.xxhash64("id", "text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "rid")
+    chosen = rows.select("lang", "id", "rid").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).select("lang", "rid")
+    # at most ``sample`` rows a language
+    texts = rows.join(F.broadcast(chosen), ["lang", "rid"], "left_semi").dropDuplicates(["lang", "rid"]).select("lang", "text")
     tally = written(texts.mapInArrow(_tallied, _TALLY), "language-sample")
+    if (found := tally.select("lang").distinct().count()) > LANGUAGES:
+        raise ValueError(f"{found} languages, {LANGUAGES} at most are learned")
     n = tally.count()
     idf = np.zeros(SIZE, dtype=np.float32)
     for r in tally.select(F.explode("at").alias("g")).groupBy("g").count().collect():  # SIZE rows at most

@@ -144,20 +144,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` as a written table with a number ``__row`` for each row, equal rows too."""
-    return written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` as a written table with a number for each row, equal rows too, and the name of that column, which none had before."""
+    name = "row"
+    while name in docs.columns:
+        name += "_"
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
-def first_rows(rows: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of the ``numbered`` rows one of each group ``(__row, component_id)``: by id, nulls last, then text hash and number."""
-    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col("__row").alias("row"))
-    kept = rows.select("__row", place.alias("place")).join(groups, "__row").groupBy("component_id").agg(F.min("place").alias("place"))
-    return rows.join(kept.select(F.col("place.row").alias("__row")), "__row", "left_semi").drop("__row")
+def first_rows(rows: DataFrame, name: str, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of the ``numbered`` rows one of each group ``(row, component_id)``: by id, nulls last, then text hash and number."""
+    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(name).alias("row"))
+    kept = rows.select(place.alias("place"), F.col(name).alias("row")).join(groups.select("row", "component_id"), "row")
+    kept = kept.groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place.row").alias(name))
+    return rows.join(kept, name, "left_semi").drop(name)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row of each group stays, the one with the smallest id; repeated rows and rows without an id are no exception."""
-    rows = numbered(docs)
-    groups = near_duplicates(rows, "__row", text_col, **how).select("__row", "component_id")
-    return first_rows(rows, groups, id_col, text_col)
+    rows, name = numbered(docs)
+    groups = near_duplicates(rows.select(F.col(name).alias("row"), F.col(text_col).alias("text")), "row", **how)
+    return first_rows(rows, name, groups, id_col, text_col)

@@ -40,6 +40,9 @@ def test_language_edge_cases(spark):
     got = {r["doc_id"]: r for r in language.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     assert all(got[i]["lang_pred"] == "und" and got[i]["rejected"] and got[i]["score"] == 0 for i in (1, 2, 3))
     assert got[4]["lang_pred"] == "en" and got[6]["lang_pred"] == "de" and got[5]["rejected"]
+    one_id = language.fit(docs.where("lang is not null").withColumn("doc_id", F.lit(7)), sample=40)
+    assert one_id["langs"] == model["langs"] and one_id["centroids"].shape == model["centroids"].shape
+    assert language.counts("\U00030000\U00030001")[1] == 2
     nothing = language.fit(docs.limit(0))
     assert {r["lang_pred"] for r in language.predict(docs, nothing).collect()} == {"und"}
     assert language.predict(docs.limit(0), model).count() == 0
