@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from ..functions.columns import flag
@@ -54,7 +56,7 @@ def _(t):
 
 @query("T05_latest_per_key_stream", "SELECT user_id, arg_max(value, (ts, event_id)) AS value, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1", "value")
 def _(t):
-    latest = ST.latest_per_key(_stream(t), "user_id", ["value", "event_type"], ["ts", "event_id"])
+    latest = ST.latest_per_live_key(_stream(t), "user_id", ["value", "event_type"], ["ts", "event_id"], "ts", timedelta(days=400))
     return ST.latest_state(t.spark, ST.drain(latest, "update"), latest.schema, ["user_id"])
 
 

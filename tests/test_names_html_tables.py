@@ -181,3 +181,28 @@ def test_streaming_reads_new_files_once(spark, tmp_path):
     run()
     schema = ST.latest_per_key(ST.read_stream(spark, src, "ts"), "k", ["v"], ["ts", "id"]).schema
     assert rows(ST.latest_state(spark, out, schema, ["k"])) == [("a", 3.0), ("b", 2.0)]
+
+
+def test_keys_unseen_for_long_leave_the_state(spark, tmp_path):
+    from rosterlab.streaming import streams as ST
+
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    day = lambda d: dt.datetime(2026, 1, 1) + dt.timedelta(days=d)
+    ev = lambda *r: spark.createDataFrame([(i, day(d), k, v) for i, d, k, v in r], "id long, ts timestamp, k string, v double").coalesce(1)
+    seen: list = []
+
+    def run():
+        stream = ST.read_stream(spark, src, "ts", 1)
+        latest = ST.latest_per_live_key(stream, "k", ["v"], ["ts", "id"], "ts", dt.timedelta(days=10))
+        ST.drain(latest, "update", out, progress=seen)
+        return rows(ST.latest_state(spark, out, latest.schema, ["k"]))
+
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    ev((1, 1, "a", 1.0), (2, 2, "b", 2.0), (3, 1, "b", 9.0), (4, 2, "c", None)).write.parquet(src)
+    assert run() == [("a", 1.0), ("b", 2.0), ("c", None)]
+    ev((5, 3, "a", 3.0), (6, 40, "d", 4.0)).write.mode("append").parquet(src)
+    run()
+    ev((7, 41, "d", 5.0)).write.mode("append").parquet(src)
+    assert run() == [("a", 3.0), ("b", 2.0), ("c", None), ("d", 5.0)]
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in seen) >= 3
+    assert seen[-1]["stateOperators"][0]["numRowsTotal"] == 1  # a, b and c are gone, what they last were is in the output
