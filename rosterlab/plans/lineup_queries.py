@@ -225,6 +225,33 @@ def _(t):
     return v.filter((F.col("rule") == "player_count") | F.startswith("message", F.lit("slot N "))).select("lineup_id", "message")
 
 
+_TEXTS = f"""SELECT rule, message, count(*) AS n FROM (
+SELECT 'player_count' AS rule, players || ' players, where {SIZE} belong' AS message FROM roll WHERE players <> {SIZE}
+UNION ALL SELECT 'salary_cap', 'salaries add up to ' || format('{{:,}}', CAST(total_salary AS BIGINT)) || ', over the cap of {CAP:,}' FROM roll WHERE total_salary > {CAP}
+UNION ALL SELECT 'salary_floor', 'salaries add up to ' || format('{{:,}}', CAST(total_salary AS BIGINT)) || ', under the floor of {FLOOR:,}' FROM roll WHERE total_salary < {FLOOR}
+UNION ALL SELECT 'min_games', 'only one game (' || g0 || '); two or more are needed' FROM roll WHERE g0 = g1
+UNION ALL SELECT 'position_slots', 'slot A filled ' || slot_A || ' times instead of 1' FROM roll WHERE slot_A <> 1
+UNION ALL SELECT 'position_slots', 'slot N filled ' || slot_N || ' times instead of 2' FROM roll WHERE slot_N <> 2
+UNION ALL SELECT 'position_slots', 'slot R filled ' || slot_R || ' times instead of 2' FROM roll WHERE slot_R <> 2
+UNION ALL SELECT 'no_duplicates', min(name) || ' (' || player_id || ') is listed ' || count(*) || ' times' FROM lineup_rows GROUP BY lineup_id, player_id HAVING count(*) > 1
+UNION ALL SELECT 'max_hitters_per_team', count(*) || ' hitters of team ' || team || ', over the limit of 2' FROM lineup_rows WHERE NOT is_pitcher GROUP BY lineup_id, team HAVING count(*) > 2
+UNION ALL SELECT 'position_eligibility', name || ' is placed at ' || slot || ' and may play ' || array_to_string(position_eligibility, '/') FROM lineup_rows WHERE NOT list_contains(position_eligibility, slot)
+UNION ALL SELECT 'no_scratched', name || ' does not play (scratched)' FROM lineup_rows WHERE lineup_status = 'scratched'
+UNION ALL SELECT 'lineup_status_unconfirmed', name || ': status ' || CASE lineup_status WHEN 'odd' THEN 'unknown' ELSE lineup_status END || ' is not final' FROM lineup_rows WHERE lineup_status IN ('odd', 'projected_starting')
+UNION ALL SELECT 'no_banned', l.name || ' is on the ban list' FROM lineup_rows l JOIN cons c ON l.player_id = c.player_id WHERE c.is_banned
+UNION ALL SELECT 'locked_player_missing', 'lacks the locked ' || name || ' (' || player_id || ')' FROM missing
+UNION ALL SELECT 'anti_stack', name || ' bats against this lineup''s pitcher' FROM lineup_rows h WHERE NOT is_pitcher AND EXISTS (
+  SELECT 1 FROM lineup_rows a WHERE a.lineup_id = h.lineup_id AND a.is_pitcher AND translate(a.team, '12345', '23451') = h.team)) m GROUP BY 1, 2"""
+
+
+@query("D68_all_message_texts", _TEXTS, views=f"{LU}, {ROLL}, {CONSTRAINTS}, {MISSING}")
+def _(t):
+    """Every rule with its message, the anti-stack rule included; a part's opponent is the brand with the next digits."""
+    rows = b.lineup_rows(t).withColumn("opponent", F.translate("team", "12345", "23451"))
+    out = L.validate_lineups(rows, constraints(t), anti_stack=True, **RULES)
+    return out.groupBy("rule", "message").agg(F.count("*").alias("n"))
+
+
 VERDICT = "verdict AS (SELECT r.*, coalesce(e.e, 0) AS errors FROM roll r LEFT JOIN (SELECT lineup_id, count(*) FILTER (severity = 'error') AS e FROM viol GROUP BY 1) e ON r.lineup_id = e.lineup_id)"
 _SAFE = f"""SELECT count(*) AS lineup_count, count(*) FILTER (errors = 0) AS valid_lineup_count, count(*) FILTER (scratched > 0) AS with_scratched, count(*) FILTER (unknown > 0) AS with_unknown,
  count(*) FILTER (projected > 0) AS with_projected, count(*) FILTER (total_salary < {FLOOR}) AS below_floor, count(*) FILTER (total_salary BETWEEN 60000 AND 90000) AS in_low_band FROM verdict"""
