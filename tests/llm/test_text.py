@@ -50,6 +50,37 @@ def test_language_edge_cases(spark):
         language.predict(docs.withColumn("score", F.lit(1)), model)
 
 
+def test_language_prediction_equals_plain_cosines(spark):
+    """Counts of one, two and three characters by dictionaries, weights and cosines by loops, for the model's own centroids."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("n_chars < 3000").limit(60)
+    model = language.fit(docs, sample=40)
+
+    def cell(gram):
+        codes, m = [ord(c) for c in gram], (1 << 32) - 1
+        h = codes[-1] * 2654435761 & m
+        if len(codes) > 1:
+            h ^= codes[-2] * 2246822519 + 0x9E3779B9 & m
+        if len(codes) > 2:
+            h ^= codes[-3] * 3266489917 + 0x7F4A7C15 & m
+        h = (h ^ h >> 15) * 0x85EBCA6B & m
+        return h >> 19
+
+    for r in language.predict(docs, model).collect():
+        words = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in r["text"]).split()
+        line = " " + " ".join(words) + " "
+        tally = {}
+        for n in (1, 2, 3):
+            for end in range(max(1, n - 1), len(line)):
+                gram = line[max(0, end - n + 1) : end + 1]
+                if len(gram) == n:
+                    tally[cell(gram)] = tally.get(cell(gram), 0) + 1
+        weights = {g: (1 + np.log(n)) * float(model["idf"][g]) for g, n in tally.items()}
+        norm = sum(w * w for w in weights.values()) ** 0.5
+        cosines = [sum(w * c[g] for g, w in weights.items()) / max(norm, 1e-12) for c in model["centroids"]]
+        best = int(np.argmax(cosines))
+        assert not words or (r["lang_pred"] == model["langs"][best] and abs(r["score"] - min(1, max(0, cosines[best]))) < 1e-3), r["doc_id"]
+
+
 def test_ngram_counts_do_not_depend_on_the_step(monkeypatch):
     text = "".join(random.Random(1).choices("ab c.é1 \n", k=2000))
     whole = language.counts(text)
@@ -172,8 +203,16 @@ def test_an_edit_encodes_little_of_a_long_text():
 
 
 def test_token_count_rows(spark):
-    for r in QUERIES["op5_edited_token_counts"](spark, SMALL).limit(40).collect():
-        assert r["edited_tokens"] > 0 and r["n_tokens"] > 0
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    found = QUERIES["op5_edited_token_counts"](spark, SMALL).collect()
+    assert len(found) == len(texts)
+    for r in found:  # a deletion, an insertion of the text's own start, a new ending
+        old = texts[r["doc_id"]]
+        n, now = len(old), old
+        for start, length, put in ((n // 3, 10, ""), (n // 2, 0, old[:20]), (max(n - 5, 0), 5, " - edited, 2nd draft.\n")):
+            now = now[:start] + put + now[start + length :]
+        counts = [len(BPE.encode(t, add_special_tokens=False).ids) for t in (old, now)]
+        assert [r["n_tokens"], r["edited_tokens"], r["edited_chars"]] == [*counts, len(now)]
     docs = spark.createDataFrame([(1, "one two"), (2, None), (3, "x")], "doc_id long, text string")
     edits = spark.createDataFrame([(1, 2, 0, 3, None), (1, 1, 7, 0, " three"), (2, 1, 5, 9, "new")], "doc_id long, seq long, start long, length long, replacement string")
     got = {r["doc_id"]: r for r in token_counts.count_edited(docs.join(token_counts.gather_edits(edits), "doc_id", "left")).collect()}
@@ -268,6 +307,54 @@ def test_fingerprints_and_edited_texts(spark, monkeypatch):
     assert sum(a for a, _ in near) / len(near) > 0.35 > 0.1 > sum(b for _, b in near) / len(near)
 
 
+def test_fingerprints_equal_plain_ones(spark):
+    """Every fingerprint, and every likeness, by I-Match written plainly."""
+    import re
+
+    import xxhash
+
+    digest = lambda t: xxhash.xxh64_intdigest(t.encode(), 42)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    words = lambda t: {digest(w) for w in re.split(r"[ \t-\r!-/:-@\[-`{-~]+", t.lower()) if w}
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    counts = {}
+    for t in docs.values():
+        for w in words(t):
+            counts[w] = counts.get(w, 0) + 1
+    lexicon = {w for w, n in counts.items() if 3 <= np.log2(len(docs) / n) <= 10}
+
+    def signatures(text):
+        known, out = words(text) & lexicon, []
+        for bits in imatch.LEVELS:
+            for s in range(imatch.SUBSETS):
+                at = len(out)
+                shift, pattern = at * 7 % (64 - bits), (s * 5 + at) % (1 << bits)
+                own = sorted(signed(h) for h in known if h >> shift & (1 << bits) - 1 == pattern)
+                out.append(digest(",".join(map(str, own))) >> 32 | 1 if own else 0)
+        if not known:
+            every = sorted(map(signed, words(text)))
+            out = [digest(",".join(map(str, every))) >> 32 | 1 if every else 0] + [0] * (len(out) - 1)
+        return out
+
+    def alike(a, b):
+        shares, k = [], imatch.SUBSETS
+        for lo in range(0, len(a), k):
+            pairs = list(zip(a[lo : lo + k], b[lo : lo + k]))
+            met = sum(x != 0 or y != 0 for x, y in pairs)
+            shares.append(sum(x == y != 0 for x, y in pairs) / max(met, k // 2) if met else 0.0)
+        return 1.0 if a == b else max(shares)
+
+    ids = sorted(docs)
+    got = {r["doc_id"]: r for r in QUERIES["op8_imatch_fingerprints"](spark, SMALL).collect()}
+    for k, i in enumerate(ids):
+        text, follow = docs[i], docs[ids[(k + 1) % len(ids)]]
+        quarter = len(text) // 4
+        own, changed, after = signatures(text), signatures(text[: len(text) - quarter] + follow[:quarter]), signatures(follow)
+        assert got[i]["fingerprint"] == "".join(f"{x:08x}" for x in own), i
+        assert got[i]["edited_fingerprint"] == "".join(f"{x:08x}" for x in changed), i
+        assert got[i]["near_edited"] == pytest.approx(alike(own, changed)) and got[i]["near_next"] == pytest.approx(alike(own, after))
+
+
 def test_fingerprint_edge_cases(spark):
     rows = [(None, "no id here"), (1, None), (2, ""), (3, "x"), (4, "long " * 4000), (4, "long " * 4000), (5, "the same words"), (9, "words same the")]
     got = imatch.fingerprints(spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, seq int")).collect()
