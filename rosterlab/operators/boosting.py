@@ -86,6 +86,25 @@ def _split(rows: np.ndarray, below: np.ndarray, level: float, allowed: np.ndarra
     return np.where(good, best // bins, -1), best % bins
 
 
+def _counts(at, codes, use, below, nodes: int, bins: int, allowed) -> tuple[np.ndarray, np.ndarray]:
+    """Rows, and rows below their prediction, by (node, feature, bin), of the rows ``use`` in the nodes ``at``."""
+    out = [np.zeros((nodes, len(codes), bins)) for _ in range(2)]
+    low, first = below[use], at * bins
+    for f in np.flatnonzero(allowed):
+        cell = first + codes[f, use]
+        for counts, cells in zip(out, (cell, cell[low])):
+            counts[:, f] = np.bincount(cells, minlength=nodes * bins).reshape(-1, bins)
+    return out[0], out[1]
+
+
+def _siblings(parent: np.ndarray, small: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Counts of both children of each parent in turn, ``side`` telling which of the two is ``small``."""
+    out = np.empty((2 * len(small), *small.shape[1:]))
+    pair = 2 * np.arange(len(small))
+    out[pair + side], out[pair + 1 - side] = small, parent - small
+    return out
+
+
 def fit_level(hashes: np.ndarray, y: np.ndarray, x: list[np.ndarray], cuts: list[np.ndarray], level: float, s: Settings) -> list[tuple]:
     """Nodes ``(tree, node, feature, cut, value, cover)`` of the trees of one quantile; tree -1 is the base value."""
     wide, full = len(cuts), 2 ** (s.depth + 1)
@@ -100,7 +119,7 @@ def fit_level(hashes: np.ndarray, y: np.ndarray, x: list[np.ndarray], cuts: list
         allowed[_mixed(np.arange(wide, dtype=np.uint64), s.seed * 7_919 + t).argsort()[: max(1, int(np.ceil(s.columns_share * wide)))]] = True
         node, below = np.zeros(len(y), dtype=np.int32), predicted > y
         splits: dict[int, tuple[int, int]] = {}
-        open_ = np.array([0])
+        open_, above = np.array([0]), None
         for _ in range(s.depth):
             if not len(open_):
                 break
@@ -108,17 +127,20 @@ def fit_level(hashes: np.ndarray, y: np.ndarray, x: list[np.ndarray], cuts: list
             lookup[open_] = np.arange(len(open_))
             at = lookup[node]
             use = np.flatnonzero(taken & (at >= 0))
-            low, at = below[use], at[use] * bins
-            rows, lower = (np.zeros((len(open_), wide, bins)) for _ in range(2))
-            for f in np.flatnonzero(allowed):
-                cell = at + codes[f, use]
-                for counts, cells in ((rows, cell), (lower, cell[low])):
-                    counts[:, f] = np.bincount(cells, minlength=len(open_) * bins).reshape(-1, bins)
+            at = at[use]
+            if above is None:
+                rows, lower = _counts(at, codes, use, below, 1, bins, allowed)
+            else:  # of two siblings the smaller one is counted, the other is what is left of their parent
+                small = np.bincount(at, minlength=len(open_)).reshape(-1, 2).argmin(axis=1)
+                mine = small[at // 2] == at % 2
+                part = _counts(at[mine] // 2, codes, use[mine], below, len(small), bins, allowed)
+                rows, lower = (_siblings(p, q, small) for p, q in zip(above, part))
             feature, cut = _split(rows, lower, level, allowed, s)
             kept = feature >= 0
             splits |= {n: (f, c) for n, f, c in zip(open_[kept].tolist(), feature[kept].tolist(), cut[kept].tolist())}
             by = np.full((2, full), -1, dtype=np.int32)
             by[0, open_], by[1, open_] = feature, cut
+            above = rows[kept], lower[kept]
             own = by[0][node]
             node = np.where(own >= 0, 2 * node + 1 + (codes[own, everyone] > by[1][node]), node).astype(np.int32)
             open_ = np.stack([2 * open_[kept] + 1, 2 * open_[kept] + 2], axis=1).ravel()

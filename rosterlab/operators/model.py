@@ -20,7 +20,7 @@ from .frames import features
 LOW, MEDIAN, HIGH = 0.15, 0.5, 0.85
 NAMES = ["q15", "q50", "q85"]
 #: Most rows of a fit: a hash of their content takes them, so a rerun takes the same. Larger tables are sampled.
-FIT_ROWS = 200_000
+FIT_ROWS = 100_000
 #: Bins of a feature in the histograms.
 BINS = 256
 
