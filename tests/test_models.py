@@ -86,3 +86,30 @@ def test_fit_takes_a_bounded_sample_and_odd_tables(spark):
     nulls = spark.createDataFrame([(None, None, None), (float("nan"), 1.0, 2.0)], "a double, b double, y double")
     assert m.predict(nulls).count() == 2 and m.predict(df.limit(0)).count() == 0
     assert M.train_quantiles(df.limit(0), ["a"], "y", trees=2).predict(df.limit(3)).count() == 3
+
+
+@pytest.mark.parametrize("depth", [0, 3, 6, 7])
+def test_trees_are_walked_by_masks_bit_for_bit(depth, monkeypatch):
+    """Masks end where a walk from node to node ends, also at cuts, NaN and values outside of all cuts; they take a look a table, not one a level."""
+    h, y, x = data(1500)
+    f = B.Forest(B.fit_level(h, y, x, CUTS, 0.5, B.Settings((0.5,), trees=25, depth=depth, step=0.2)), depth, 3)
+    wide = np.column_stack(x)
+    wide[:40, 0], wide[40:80, 1], wide[80:90], wide[90:100] = np.nan, CUTS[1][:40], -np.inf, np.inf
+    want, shares = np.full(len(wide), f.base), np.zeros(wide.shape)
+    for t in range(len(f.feature)):
+        at = f.leaves(wide, t)
+        want += f.value[t, at]
+        shares += f.steps()[t][at]
+    if depth <= 6:
+        monkeypatch.setattr(B.Forest, "leaves", None)
+    assert (f.predict(wide) == want).all()
+    predicted, found = f.explain(wide)
+    assert (predicted == want).all() and (found == shares).all()
+    monkeypatch.setattr(B, "_CELLS", 1)  # a table for each feature
+    alone = B.Forest([], depth, 3)
+    alone.base, alone.feature, alone.cut, alone.value = f.base, f.feature, f.cut, f.value
+    if depth <= 6:
+        assert len(alone.masks()) == 3 and len(f.masks()) < 3
+    monkeypatch.undo()
+    assert (alone.predict(wide) == want).all()
+    assert (B.Forest([], depth, 3).predict(wide) == 0).all()
