@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from rosterlab.llm import exact, lines, simhash
-from rosterlab.llm.common import Scratch, components
+from rosterlab.llm.common import Scratch, components, linked
 from rosterlab.llm.queries import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -273,3 +273,18 @@ def test_keep_first_decides_by_row(spark):
     rows = [(5, "one two three"), (5, "one two three"), (7, "four five six"), (7, "one two three"), (None, "four five six"), (None, "alone here")]
     kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[2], rows[5]], key=str)
+
+
+@pytest.mark.parametrize("full", [1000, 30])
+def test_no_pair_of_a_large_block_is_missed(spark, full):
+    """300 rows of one size in a block; partners are 50 places apart, further than the neighbours that meet first. Blocks overlap, keys may be negative."""
+    rows = [(k - 150, 100, None, [7, 8] if k % 3 else [7]) for k in range(300)] + [(900, 100, None, [8]), (901, 10, None, [7]), (902, 100, None, [])]
+    store = Scratch()
+    table = store(spark.createDataFrame(rows, "key long, size int, bits long, blocks array<long>"), "table")
+    same = lambda pairs: pairs.where("pmod(a, 50) = pmod(b, 50)")
+    links = [tuple(r) for r in linked(table, 0.8, store, same, near=15, full=full).collect()]
+    found = roots([r[0] for r in rows], links)
+    assert all(found[k] == k % 50 - 150 for k in range(-150, 150))
+    assert found[900] == -150 and found[901] == 901 and found[902] == 902
+    assert linked(table.limit(0), 0.8, store, same).count() == 0
+    store.clear()
