@@ -29,23 +29,31 @@ SEED = 42
 _STEP = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """Unsigned 64-bit SimHash of one text; words are runs without ASCII white space, A-Z lower-cased."""
+def shingle_hashes(text: str | None, shingle: int = 4) -> np.ndarray:
+    """Hashes of the shingles of one text, repeats included; words are runs without ASCII white space, A-Z lower-cased."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     line = b" ".join(words)
     stops = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(stops[:-1] + 1).tolist()]
     stops = stops.tolist()
     width = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    ones, total = np.zeros(64, dtype=np.int64), len(words) - width + 1
-    for lo in range(0, total, _STEP):
-        hi = min(total, lo + _STEP)
-        h = np.array([digest(line[s:e], SEED) for s, e in zip(starts[lo:hi], stops[lo + width - 1 : hi + width - 1])], dtype="<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0])
+    return np.fromiter((digest(line[s:e], SEED) for s, e in zip(starts, stops[width - 1 :])), dtype="<u8", count=len(words) - width + 1)
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
+    ones = np.zeros(64, dtype=np.int64)
+    for lo in range(0, len(hashes), _STEP):
+        ones += np.unpackbits(hashes[lo : lo + _STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """Unsigned 64-bit SimHash of one text."""
+    return majority_bits(shingle_hashes(text, shingle))
 
 
 def fingerprint_udf(shingle: int = 4):
