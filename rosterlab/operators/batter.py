@@ -209,10 +209,13 @@ def join_batting_order(df: DataFrame, orders: DataFrame, key: str = "batter") ->
 
 
 def player_teams(orders: DataFrame, key: str = "batter") -> DataFrame:
-    """One team per player and game (first in team order)."""
-    keys = orders.select(F.col("mlbam_id").alias(key), "game_pk", F.trim("team").alias("team"), "batting_order")
+    """One team per player and game (first in team order).
+
+    A player has few rows in a game, so rows are shuffled as they are; combining them before would sort them twice.
+    """
+    keys = orders.select(F.col("mlbam_id").alias(key), "game_pk", F.trim("team").alias("team"))
     keys = keys.filter(F.col(key).isNotNull() & F.col("game_pk").isNotNull() & F.col("team").isNotNull())
-    return first_row(keys, [key, "game_pk"], [F.col("team"), F.col("batting_order")]).drop("batting_order")
+    return keys.repartition(key, "game_pk").groupBy(key, "game_pk").agg(F.min("team").alias("team"))
 
 
 def team_games(logs: DataFrame, teams: DataFrame, key: str = "batter") -> DataFrame:
@@ -246,18 +249,18 @@ def team_form(games: DataFrame, n: int = 30, at_least: int = 3, default: float =
     """Runs for and against per game over the previous ``n`` games of a team.
 
     ``opp_runs_allowed_30d`` is the team's own runs allowed, as the feature contract has it.
+    Both series are taken from the same rows, which large inputs write once.
     """
     order = ["game_date", "game_pk"]
 
-    def series(value: str, out: str):
-        return lambda rows, part: rows.withColumn(
-            out, F.coalesce(lagged_mean(value, part, order, n, at_least), F.lit(default))
-        )
+    def series(rows: DataFrame, part: list[str]) -> DataFrame:
+        mean = lambda value, by: F.coalesce(lagged_mean(value, by, order, n, at_least), F.lit(default))
+        rows = rows.withColumn("team_runs_per_game_30d", mean("runs_scored", part))
+        # Games without an opponent do not enter the series of runs allowed.
+        return rows.withColumn("opp_runs_allowed_30d", mean("runs_allowed", [*part, "_met"]))
 
     rows = runs_allowed(games).withColumn("_met", F.col("runs_allowed").isNotNull())
-    rows = trailing(rows, ["team"], _cols(order), n, series("runs_scored", "team_runs_per_game_30d"))
-    # Games without an opponent do not enter the series of runs allowed.
-    rows = trailing(rows, ["team", "_met"], _cols(order), n, series("runs_allowed", "opp_runs_allowed_30d"))
+    rows = trailing(rows, ["team"], _cols(order), n, series, within=["_met"], store=True)
     own = F.when(F.col("_met"), F.col("opp_runs_allowed_30d")).otherwise(default)
     return rows.withColumn("opp_runs_allowed_30d", own).drop("_met")
 

@@ -16,7 +16,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, stored
 
 # Below this many bytes of input no key can be too large for one task.
 GROUP_BYTES = ("rosterlab.groupBytes", 256 * 1024 * 1024)
@@ -44,25 +44,29 @@ def may_hold_large_group(df: DataFrame) -> bool:
 
 def split_large_groups(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
     """(rows of ordinary keys, rows of oversized keys or None)."""
-    keys = list(keys)
-    if not may_hold_large_group(df):
-        return df, None
+    return _split(df, list(keys)) if may_hold_large_group(df) else (df, None)
+
+
+def _same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> list[Column]:
+    return [a[k].eqNullSafe(b[k]) for k in names]
+
+
+def _split(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
     if not keys:
         return df.limit(0), df
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     large = checkpointed(sizes.filter(F.col("_n") > _setting(df, GROUP_ROWS)).select(*keys))
     if large.isEmpty():
         return df, None
-    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
-    return df.join(large, same(df, large), "left_anti"), df.join(large, same(df, large), "left_semi")
+    return df.join(large, _same(df, large, keys), "left_anti"), df.join(large, _same(df, large, keys), "left_semi")
 
 
-def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column], keep: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
     """Range-partition on (keys, order) and keep the boundaries on reliable storage."""
     rows = df.count()
     parts = max(2, -(-rows // _setting(df, GROUP_ROWS)))
     by = [F.col(k) for k in keys] + list(order)
-    return checkpointed(df.repartitionByRange(parts, *by).withColumn("_part", F.spark_partition_id()))
+    return keep(df.repartitionByRange(parts, *by).withColumn("_part", F.spark_partition_id()))
 
 
 def _placed(df, keys, order, weight, out, total) -> DataFrame:
@@ -113,29 +117,54 @@ def prefix_sums(
 
 def trailing(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], lookback: int,
-    build: Callable[[DataFrame, list[str]], DataFrame],
+    build: Callable[[DataFrame, list[str]], DataFrame], within: Sequence[str] = (), store: bool = False,
 ) -> DataFrame:
     """Run ``build(rows, partition_columns)`` where its frames reach back at most ``lookback`` rows.
 
-    An oversized key is cut into blocks of consecutive rows; each block also gets the
-    ``lookback`` rows before it, which are dropped again afterwards.
+    An oversized key is cut into range partitions of consecutive rows; each also gets the ``lookback`` rows
+    before it, which are dropped again afterwards. ``order`` are plain ascending columns. ``within`` are columns that
+    ``build`` adds to the partition columns for some of its frames. ``store`` writes the rows once before their keys
+    are counted, for frames that cost more to compute than to read again.
     """
     keys, order = list(keys), list(order)
-    ordinary, large = split_large_groups(df, keys)
+    if not may_hold_large_group(df):
+        return build(df, keys)
+    df = stored(df) if store else df
+    ordinary, large = _split(df, keys)
     if large is None:
-        return build(ordinary, keys)
-    size = max(_setting(df, GROUP_ROWS), lookback)
-    placed = prefix_sums(large, keys, order, out="_pos")
-    block = F.floor((F.col("_pos") - 1) / size)
-    tail = (F.col("_pos") - 1) % size >= size - lookback
-    blocks = placed.withColumn("_own", block).withColumn(
-        "_block", F.explode(F.array_compact(F.array(block, F.when(tail, block + 1))))
-    )
-    done = build(blocks, [*keys, "_block"]).filter(F.col("_block") == F.col("_own"))
-    done = done.drop("_pos", "_own", "_block")
+        return build(df, keys)
+    ranged = _ranged(large, keys, order, stored)
+    before = _reached(ranged, keys, order, lookback, list(within))
+    blocks = ranged.withColumn("_own", F.lit(True)).unionByName(before.withColumn("_own", F.lit(False)))
+    done = build(blocks, [*keys, "_part"]).filter("_own").drop("_own", "_part")
     return done if not keys else build(ordinary, keys).unionByName(done)
 
 
+def _reached(ranged: DataFrame, keys: list[str], order: list[Column], lookback: int, within: list[str]) -> DataFrame:
+    """The last ``lookback`` rows before each part of a key, of each value of ``within``; ``_part`` is the part they are for.
+
+    They are among the last rows of all parts, which are few and are numbered; a part needs those up to the
+    number that the parts before it have.
+    """
+    groups = [*keys, *within]
+    last = stored(top_rows(ranged, [*groups, "_part"], [c.desc_nulls_last() for c in order], lookback), "last")
+    named = lambda df, names, to: df.select(*[F.col(k).alias(f"{to}{i}") for i, k in enumerate(names)])
+    meet = lambda left, right, n: [F.col(f"{left}{i}").eqNullSafe(F.col(f"{right}{i}")) for i in range(n)] or F.lit(True)
+    values, parts = named(last, groups, "_v").distinct(), named(last, [*keys, "_part"], "_p").distinct()
+    every = values.join(parts, meet("_v", "_p", len(keys))).withColumnRenamed(f"_p{len(keys)}", f"_v{len(groups)}")
+    counts = named(last, [*groups, "_part"], "_c").groupBy(*[f"_c{i}" for i in range(len(groups) + 1)]).agg(F.count(F.lit(1)).alias("_n"))
+    every = every.join(counts, meet("_v", "_c", len(groups) + 1), "left")
+    group = [f"_v{i}" for i in range(len(groups))]
+    ahead = Window.partitionBy(*group).orderBy(f"_v{len(groups)}").rowsBetween(Window.unboundedPreceding, -1)
+    every = every.withColumn("_upto", F.sum("_n").over(ahead)).filter(F.col("_upto") > 0)
+    places = F.sequence(F.greatest(F.lit(1), F.col("_upto") - lookback + 1), F.col("_upto"))
+    needed = every.select(*group, F.col(f"_v{len(groups)}").alias("_for"), F.explode(places).alias("_at"))
+    numbered = last.withColumn("_row", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
+    same = [F.col(k).eqNullSafe(F.col(g)) for k, g in zip(groups, group)]
+    met = numbered.join(needed, [*same, F.col("_row") == F.col("_at")])
+    return met.select(*[F.col("_for").alias(c) if c == "_part" else F.col(c) for c in ranged.columns])
+
+
 def with_group_stats(df: DataFrame, keys: Sequence[str], stats: dict[str, Column]) -> DataFrame:
     """Attach aggregates of a group to its rows.
 

@@ -145,7 +145,8 @@ def outings(t: Tables) -> DataFrame:
     li = t["lineitem"].select("l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag")
     o = t["orders"].select("o_orderkey", F.col("o_orderdate").cast("date").alias("game_date"))
     s = t["supplier"].select("s_suppkey", "s_nationkey")
-    per = li.groupBy(F.col("l_suppkey").alias("player"), F.col("l_orderkey").alias("game_pk")).agg(
+    # The order is the key of the join that follows as well, so one shuffle serves both.
+    per = li.repartition("l_orderkey").groupBy(F.col("l_suppkey").alias("player"), F.col("l_orderkey").alias("game_pk")).agg(
         F.sum("l_quantity").alias("qty"), F.sum(F.floor(F.col("l_discount") * 100)).cast("int").alias("er"),
         F.min("l_linenumber").alias("slot"), F.count(F.lit(1)).cast("int").alias("n"),
         F.count_if(F.col("l_returnflag") == "R").cast("int").alias("k"),
@@ -167,12 +168,17 @@ outings AS (
 )"""
 
 
+def team_outings(t: Tables) -> DataFrame:
+    """The columns of the outings that logs and batting orders have."""
+    return outings(t).select("player", "game_pk", "game_date", "qty", "slot", "team")
+
+
 def order_logs(t: Tables) -> DataFrame:
-    return t.once(outings).select(F.col("player").alias("batter"), "game_pk", "game_date", F.col("qty").alias("runs"))
+    return t.once(team_outings).select(F.col("player").alias("batter"), "game_pk", "game_date", F.col("qty").alias("runs"))
 
 
 def order_teams(t: Tables) -> DataFrame:
-    return t.once(outings).select(F.col("player").alias("mlbam_id"), "game_pk", "game_date", "team", F.col("slot").alias("batting_order"))
+    return t.once(team_outings).select(F.col("player").alias("mlbam_id"), "game_pk", "game_date", "team", F.col("slot").alias("batting_order"))
 
 
 def order_pitching(t: Tables) -> DataFrame:

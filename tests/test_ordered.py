@@ -84,3 +84,16 @@ def test_group_stats_null_keys(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, x double")
     assert rows(O.with_group_stats(df, ["g"], {"m": F.avg("x")})) == [("a", 5.0, 5.0), (None, 1.0, 2.0), (None, 3.0, 2.0)]
     assert {r["m"] for r in O.with_group_stats(df, [], {"m": F.avg("x")}).collect()} == {3.0}
+
+
+def test_team_form_of_a_large_team_writes_its_games_once(spark, split, monkeypatch):
+    """Both series come from one written table; games without an opponent lie in long runs, over several parts."""
+    at = [(team, day * 7 + i) for team, every in (("A", 1), ("B", 60), (None, 9)) for day in range(60) for i in range(7) if (day * 7 + i) % every == 0]
+    games = spark.createDataFrame([(t, g, f"2026-01-{1 + g // 14:02d}", float(g * g % 11)) for t, g in at], "team string, game_pk long, game_date string, runs_scored double")
+    written = []
+    monkeypatch.setattr(O, "stored", lambda df, label="rows", keep=O.stored: written.append(label) or keep(df, label))
+    run = lambda: rows(B.team_form(games).select("team", "game_pk", F.round("team_runs_per_game_30d", 9), F.round("opp_runs_allowed_30d", 9)))
+    forced = run()
+    assert written == ["rows", "rows", "last"]  # the games, their parts and the rows before the parts
+    spark.conf.set("rosterlab.groupBytes", str(1 << 40))
+    assert forced == run()
