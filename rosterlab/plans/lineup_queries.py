@@ -25,8 +25,14 @@ def lineups(t):
     return L.first_slot(b.lineup_rows(t))
 
 
+def lineup_salaries(t):
+    """The columns of the lineups that scores and overlaps have."""
+    return lineups(t).select("lineup_id", "player_id", "salary")
+
+
 def scored(t):
-    return L.score_lineups(lineups(t), b.pool(t))
+    rows = t.stored["lineup_salaries"] if "lineup_salaries" in t.stored else lineups(t)
+    return L.score_lineups(rows, b.pool(t))
 
 
 SCORE = """score AS (
@@ -305,7 +311,7 @@ SELECT l.lineup_id, coalesce(max(c), 0) AS max_shared, coalesce(count(*) FILTER
   SELECT a.lineup_id, o.lineup_id AS other, count(*) AS c FROM lu a JOIN lu o ON a.player_id = o.player_id AND a.lineup_id <> o.lineup_id
   WHERE o.lineup_id IN (SELECT lineup_id FROM top20) GROUP BY 1, 2) s ON l.lineup_id = s.lineup_id GROUP BY 1""", views=f"{SCORED}, {TOP}")
 def _(t):
-    rows = lineups(t)
+    rows = t.once(lineup_salaries)
     best = L.top_lineups(scored(t).withColumn("portfolio_score", F.round("portfolio_score", 8)), 20).select("lineup_id")
     return L.overlap_with(rows, rows.join(best, "lineup_id", "left_semi"), cap=1)
 
