@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from rosterlab.llm import exact, lines, simhash
-from rosterlab.llm.common import Scratch, components, linked
+from rosterlab.llm.common import Scratch, components, linked, others
 from rosterlab.llm.queries import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -288,3 +288,46 @@ def test_no_pair_of_a_large_block_is_missed(spark, full):
     assert found[900] == -150 and found[901] == 901 and found[902] == 902
     assert linked(table.limit(0), 0.8, store, same).count() == 0
     store.clear()
+
+
+@pytest.mark.parametrize("full", [1000, 30])
+def test_only_links_leave_the_comparison_of_a_block(spark, full):
+    """400 rows of two blocks, no two of one group: what the comparison returns are the links, each once, not the 79,800 pairs."""
+    rows = [(k - 200, 100, None, [7, 8]) for k in range(400)]
+    store = Scratch()
+    table = store(spark.createDataFrame(rows, "key long, size int, bits long, blocks array<long>"), "table")
+    columns = lambda keys: keys.distinct().withColumn("mod", F.expr("pmod(key, 200)"))
+    same = lambda x, y: x["mod"] == y["mod"]
+    large = table.select(F.explode("blocks").alias("block"), "key", "size", "bits")
+    none = spark.createDataFrame([], "node long, root long")
+    found = others(large, none, 0.8, store, full, inside=(columns, same))
+    assert sorted(map(tuple, found.collect())) == [(k, k - 200) for k in range(200)]
+    verified = lambda pairs: pairs.where("pmod(a, 200) = pmod(b, 200)")
+    links = [tuple(r) for r in linked(table, 0.8, store, verified, near=15, full=full, inside=(columns, same)).collect()]
+    assert roots([r[0] for r in rows], links) == {k - 200: k % 200 - 200 for k in range(400)}
+    store.clear()
+
+
+def test_similar_lines_are_those_of_the_edit_distance(spark):
+    """Words replaced, left out, put in, swapped and glued together; the walk through the words is never below the distance."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdé", k=rng.randrange(1, 9))) for _ in range(60)]
+    pairs = [("a", "b"), ("a b", "b a"), ("abcd abcd abcd", "abcd abcd"), ("word", "word word")]
+    for n in (2, 5, 9, 30, 60):
+        for _ in range(60):
+            words = rng.choices(vocabulary, k=n)
+            other = list(words)
+            for _ in range(rng.randrange(0, max(2, n // 3))):
+                at = rng.randrange(len(other))
+                other[at : at + 1] = rng.choice([[rng.choice(vocabulary)], [], [other[at], rng.choice(vocabulary)], other[at : at + 2][::-1], [other[at] + "x"]]) or ["z"]
+            pairs.append((" ".join(words), " ".join(other)))
+    table = spark.createDataFrame(pairs, "x string, y string")
+    out = table.select("x", "y", lines._similar(F.col("x"), F.col("y"), 0.8).alias("alike"), lines._walked(F.split("x", " "), F.split("y", " ")).alias("cost")).collect()
+    for r in out:
+        apart, longer = distance(r["x"], r["y"]), max(len(r["x"]), len(r["y"]))
+        assert r["cost"] >= apart and (r["x"] != r["y"] or r["cost"] == 0)
+        short, long = sorted((r["x"].split(" "), r["y"].split(" ")), key=len)
+        run = len(short) < len(long) and any(short == long[:k] + long[k + len(long) - len(short) :] for k in range(len(short) + 1))
+        # a run of words that one line lacks counts without one of its spaces
+        assert r["alike"] == (apart - run <= int(longer * 0.2 + 1e-9)), r
+    assert 50 < sum(r["alike"] for r in out) < len(out)
