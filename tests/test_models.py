@@ -88,6 +88,46 @@ def test_fit_takes_a_bounded_sample_and_odd_tables(spark):
     assert M.train_quantiles(df.limit(0), ["a"], "y", trees=2).predict(df.limit(3)).count() == 3
 
 
+def nodes(spark, m):
+    return sorted(rows(spark.read.parquet(f"{m.path}/nodes")))
+
+
+@pytest.mark.parametrize("held", [1 << 17, 0])
+def test_a_fit_over_parts_takes_all_rows_and_gives_the_model_of_one_task(spark, monkeypatch, held):
+    """Bit for bit, whether cells are counted on the driver or level by level on Spark; also cells of one row and equal rows."""
+    n = F.col("id")
+    df = spark.range(3000).select((n % 10).cast("double").alias("a"), F.when(n % 3 == 0, F.rand(5)).otherwise(F.lit(None)).alias("b"), (F.hash("id") % 50 / 7).alias("noise"))
+    df = df.withColumn("y", F.when(F.col("a") == 7, F.lit(None)).otherwise(F.col("a") * 3 + F.coalesce("b", F.lit(0.0)) + F.col("noise"))).drop("noise")
+    df = spark.createDataFrame(df.union(df.limit(400)).collect(), df.schema)
+    fit = lambda frame, **more: M.train_quantiles(frame, ["a", "b", "c"], "y", trees=5, depth=4, step=0.3, **more)
+    want = nodes(spark, fit(df))
+    monkeypatch.setattr(M, "TASK_ROWS", 500)
+    monkeypatch.setattr(M, "PART_ROWS", 900)
+    monkeypatch.setattr(B, "_HELD", held)
+    monkeypatch.setattr(B, "_CUT", 2)
+    monkeypatch.setattr(B, "fit_task", None)
+    m = fit(df.repartition(5))
+    assert nodes(spark, m) == want and len(m.forests[1].feature) == 5
+    assert {r["cover"] for r in spark.read.parquet(f"{m.path}/nodes").where("tree = -1").collect()} == {3400}
+    none = M.train_quantiles(df, [], "y", trees=2)
+    assert none.forests[1].base == m.forests[1].base and len(none.forests[1].feature) == 0
+
+
+def test_a_fit_takes_every_row_of_a_large_table(spark):
+    df = spark.range(120_000).select((F.col("id") % 10).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("y"))
+    m = M.train_quantiles(df, ["a"], "y", trees=1, depth=1)
+    assert {r["cover"] for r in spark.read.parquet(f"{m.path}/nodes").where("tree = -1").collect()} == {120_000}
+
+
+def test_percentiles_from_counts_equal_the_aggregate(spark):
+    df = spark.range(777).select((F.col("id") % 13 / 3).alias("a"), F.rand(3).alias("b"), F.lit(2.0).alias("c"))
+    df = spark.createDataFrame(df.collect(), df.schema)
+    shares = [i / 256 for i in range(1, 256)]
+    want = df.agg(*[F.percentile(c, shares).alias(c) for c in df.columns]).first()
+    assert [list(v) for v in M._percentiles(df, df.columns, 777, shares)] == [list(v) for v in want]
+    assert M._percentiles(df, [], 777, shares) == []
+
+
 @pytest.mark.parametrize("depth", [0, 3, 6, 7])
 def test_trees_are_walked_by_masks_bit_for_bit(depth, monkeypatch):
     """Masks end where a walk from node to node ends, also at cuts, NaN and values outside of all cuts; they take a look a table, not one a level."""
