@@ -243,6 +243,23 @@ def test_simhash_is_the_bit_majority(spark):
         assert r["m"] & (1 << 64) - 1 == plain(hs[:3], range(64))
 
 
+def test_simhash_of_thousands_of_equal_hashes(spark):
+    """The counters wrap round without an error, whatever a word's hash and however often a long line has it."""
+    hashes = [-1, 0x0011111111111111, 0x7FFFFFFFFFFFFFFF]
+    rows = spark.createDataFrame([(h, n) for h in hashes for n in (63, 2000, 40000)], "h long, n int")
+    for r in rows.select("h", "n", lines.simhash(F.array_repeat("h", F.col("n"))).alias("s")).collect():
+        want = 0
+        for lane in range(0, 56, 4):
+            for k in range(3):
+                counters = (7 - r["n"] // 2) % 16 * lines._LANES + r["n"] * (r["h"] >> k & lines._LANES)
+                want |= (counters >> lane + 3 & 1) << lane + 3 - k
+        assert r["s"] == want, (r["h"], r["n"])
+    # a line of one word has it in its sample if the word's hash says so, which one word of 64 does
+    text = F.rtrim(F.repeat(F.concat(F.lit("word"), "id", F.lit(" ")), 4000))
+    long = lines._lines(spark.range(1500).select(text.alias("norm")).withColumn("key", F.xxhash64("norm")))
+    assert long.agg(F.count("bits"), F.bit_xor("bits")).first()[0] == 1500
+
+
 def test_unrelated_lines_with_one_phrase_cost_few_pairs(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
